@@ -175,7 +175,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with docs' columns."""
     hit = stored(hits(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")), "hit")
     hit = F.broadcast(hit) if hit.count() <= BROADCAST_KEYS else hit
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("hit_id")) & (_key(docs["text"]) == F.col("hit_key")), "left_anti")
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["hit_id"]) & (_key(docs["text"]) == hit["hit_key"]), "left_anti")
 
 
 ORACLE_SQL = r"""

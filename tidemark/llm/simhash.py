@@ -140,10 +140,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("first_hash")))
     kept = stored(kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("copies")), "kept")
-    own = text_hash(F.col("text"))
+    own = text_hash(docs["text"])
     chosen = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & own.eqNullSafe(kept["kept_hash"]), "left_semi")
     if kept.where("copies > 1").isEmpty():
         return chosen
     others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
     order = Window.partitionBy("doc_id", own).orderBy(*(others or [F.lit(0)]))
-    return chosen.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+    return chosen.withColumn("_kept_copy", F.row_number().over(order)).where("_kept_copy = 1").drop("_kept_copy")
