@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language, mixing, scoring, secret_scan, simhash
+from tidemark.llm import decontamination, language, mixing, scoring, secret_scan, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op10_language(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_secrets, op4_scoring, op5_mixing, op6_simhash, op8_decontamination, op10_language]
+    found = [op2_secrets, op4_scoring, op5_mixing, op6_simhash, op8_decontamination, op9_toxicity, op10_language]
     return {f.__name__: f for f in found}
 
 
