@@ -85,8 +85,10 @@ def gram_buckets(text: str, sizes: tuple[int, ...], bits: int):
 
 
 def word_buckets(text: str, bits: int) -> np.ndarray:
-    """Hash buckets of the lower-cased, white-space separated words."""
-    return np.array([zlib.crc32(w) for w in text.lower().encode("utf-8", "surrogatepass").split()], np.uint32) >> np.uint32(32 - bits)
+    """Hash buckets of the lower-cased, white-space separated words; each pair of a word and itself adds bucket 0."""
+    found = np.array([zlib.crc32(w) for w in text.lower().encode("utf-8", "surrogatepass").split()], np.uint32)
+    pairs = np.zeros(int((found[1:] == found[:-1]).sum()), np.uint32)
+    return np.concatenate([found >> np.uint32(32 - bits), pairs])
 
 
 def text_counts(text: str | None, sizes: tuple[int, ...], bits: int, word_bits: int = 0) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language, mixing, scoring, secret_scan, simhash, toxicity
+from tidemark.llm import decontamination, language, mixing, quality, scoring, secret_scan, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op2_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.op4_scoring(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_secrets, op4_scoring, op5_mixing, op6_simhash, op8_decontamination, op9_toxicity, op10_language]
+    found = [op2_secrets, op3_quality, op4_scoring, op5_mixing, op6_simhash, op8_decontamination, op9_toxicity, op10_language]
     return {f.__name__: f for f in found}
 
 
