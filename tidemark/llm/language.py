@@ -31,8 +31,8 @@ FOLDS = 5
 UNKNOWN = "und"
 #: Texts that the classifiers are fitted on, at most; they are shared evenly by the languages.
 MAX_TRAIN_DOCS = 2400
-#: A text whose best language has less than this decoding score is flagged as ambiguous.
-AMBIGUOUS = 0.4
+#: A text is flagged as ambiguous if its best decoding score is below so many times an even share (0.5 at most).
+AMBIGUOUS = 1.4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -79,7 +79,7 @@ class Model:
         chance = np.exp(loss.min() - loss)
         best = int(loss.argmin())
         score = float(1 / chance.sum())
-        return self.languages[best], score, score < AMBIGUOUS
+        return self.languages[best], score, score < min(0.5, AMBIGUOUS / len(self.languages))
 
 
 def train(rows: list[tuple], epochs: int = 12, seed: int = 10) -> Model:

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language, mixing, quality, scoring, secret_scan, simhash, toxicity
+from tidemark.llm import decontamination, language, mixing, neighbours, quality, scoring, secret_scan, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.op1_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op2_secrets(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_secrets, op3_quality, op4_scoring, op5_mixing, op6_simhash, op8_decontamination, op9_toxicity, op10_language]
+    found = [op1_neighbours, op2_secrets, op3_quality, op4_scoring, op5_mixing, op6_simhash, op8_decontamination, op9_toxicity, op10_language]
     return {f.__name__: f for f in found}
 
 
