@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language, mixing, neighbours, quality, scoring, secret_scan, simhash, toxicity
+from tidemark.llm import decontamination, language, licences, mixing, neighbours, quality, scoring, secret_scan, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_simhash(table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op7_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_neighbours, op2_secrets, op3_quality, op4_scoring, op5_mixing, op6_simhash, op8_decontamination, op9_toxicity, op10_language]
+    found = [op1_neighbours, op2_secrets, op3_quality, op4_scoring, op5_mixing, op6_simhash, op7_licences, op8_decontamination, op9_toxicity, op10_language]
     return {f.__name__: f for f in found}
 
 
