@@ -7,7 +7,8 @@ largest difference of the two log-likelihoods per character, so one abusive expr
 expressions that are rare in both classes say nothing. Inflected and compounded forms share their
 stem's n-grams.
 
-A word counts once for each distinct word before it, so passages copied many times count once.
+In each half of the sample a word counts once for each distinct word before it, so passages copied
+many times count once.
 
 Defined results: a null text, or one without words, gets the score of no evidence; without labels of
 both classes every score is the share of toxic labels (0.5 without any); several labels of a doc_id
@@ -18,8 +19,6 @@ further columns are ignored. Texts are scored whole.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, remainder, sigmoid
+from tidemark.llm.common import bounded_sample, remainder, sigmoid, stored
 
 FOLDS = 5
 #: Labelled texts that are learned from, at most; half of them of either class.
-MAX_TRAIN_DOCS = 4000
+MAX_TRAIN_DOCS = 2400
 THRESHOLD = 0.5
 #: Characters of an n-gram; counts up to the discount are left to the shared lower orders.
 ORDER = 6
@@ -47,27 +46,35 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _keys(listed: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, for each character of each word and its end: row n of the first array has those of the
-    n + 1 characters that end there, row n of the second those of the n characters before it; the third
-    has the index of the word. Words are padded with blanks."""
-    lengths = np.array([len(w) for w in listed], np.int64) + order
-    text = " " * (order - 1) + (" " * order).join(listed) + " "
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(listed)), lengths)
-    inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= order - 1
-    grams, contexts = [], [np.zeros(int(inside.sum()), np.uint64)]
+def _orders(listed: list[str], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n from 0 to order - 1: hashes, for each character of each word and its end, of the n + 1
+    characters that end there and of the n characters before it. Words are padded with blanks."""
+    codes, inside, _ = _laid_out(listed, order)
     gram, context = np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)
     for n in range(order):
         back = np.concatenate([np.zeros(n, np.uint64), codes[: len(codes) - n]]) + np.uint64(n * 0x10001 + 1)
         gram = (gram ^ back) * _MIX
         gram ^= gram >> np.uint64(31)
-        grams.append(gram[inside])
         if n:
             context = (context ^ back) * _MIX
             context ^= context >> np.uint64(31)
-            contexts.append(context[inside])
-    return np.array(grams), np.array(contexts), word[inside]
+        yield gram[inside], context[inside]
+
+
+def _laid_out(listed: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all words, padded; which of them are no padding in front; and the word of each of these."""
+    lengths = np.array([len(w) for w in listed], np.int64) + order
+    text = " " * (order - 1) + (" " * order).join(listed) + " "
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= order - 1
+    return codes, inside, np.repeat(np.arange(len(listed)), lengths - order + 1)
+
+
+def _longest(listed: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the last order, and the word of each."""
+    for gram, context in _orders(listed, order):  # noqa: B007
+        pass
+    return gram, context, _laid_out(listed, order)[2]
 
 
 def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,40 +86,35 @@ def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """texts: (label, words); label 1 is toxic."""
+    """counts: for ordinary and for toxic texts, how many distinct words stand before each word."""
 
-    def __init__(self, texts: list[tuple[int, list[str]]], order: int = ORDER, discount: float = DISCOUNT):
+    def __init__(self, counts: tuple[dict[str, int], dict[str, int]], order: int = ORDER, discount: float = DISCOUNT):
         self.order, self.weights, self.share = order, np.zeros(2), 0.5
-        seen: list[Counter] = []
-        for label in (0, 1):
-            pairs = {pair for y, ws in texts if y == label for pair in zip(["", *ws], ws)}  # noqa: B905
-            seen.append(Counter(w for _, w in pairs))
-        listed = sorted(seen[0] | seen[1])
+        listed = sorted(counts[0].keys() | counts[1].keys())
         if not listed:
             self.grams = self.contexts = np.zeros(0, np.uint64)
             self.gram_ratio = self.context_ratio = np.zeros(1)
             return
-        keys, before, word = _keys(listed, order)
-        grams, first, gram = np.unique(keys[-1], return_index=True, return_inverse=True)
-        contexts, place = np.unique(before[-1], return_inverse=True)
-        backoff = _shared(keys[:, first], before[:, first])
+        gram, context, word = _longest(listed, order)
+        grams, first, gram = np.unique(gram, return_index=True, return_inverse=True)
+        contexts, place = np.unique(context, return_inverse=True)
+        owner = place[first]
+        backoff = _shared(listed, order, first)
         chance, rest = [], []
-        for counts in seen:
-            n = np.bincount(gram, np.array([counts[w] for w in listed], float)[word], minlength=len(grams))
+        for own in counts:
+            n = np.bincount(gram, np.array([own.get(w, 0) for w in listed], float)[word], minlength=len(grams))
             kept = np.maximum(n - discount, 0)
-            owner = place[first]
             total = np.maximum(np.bincount(owner, n, minlength=len(contexts)), 1e-9)
             spare = np.where(total > 1e-6, 1 - np.bincount(owner, kept, minlength=len(contexts)) / total, 1.0)
             rest.append(np.maximum(spare, 1e-6))
             chance.append(kept / total[owner] + rest[-1][owner] * backoff)
-        self.grams, self.gram_ratio = grams, np.append(np.log(chance[1] / chance[0]), 0.0)
-        self.contexts, self.context_ratio = contexts, np.append(np.log(rest[1] / rest[0]), 0.0)
+        self.grams, self.gram_ratio = grams, np.append(np.log(chance[1] / chance[0]), 0.0).astype(np.float32)
+        self.contexts, self.context_ratio = contexts, np.append(np.log(rest[1] / rest[0]), 0.0).astype(np.float32)
 
     def ratios(self, listed: list[str]) -> np.ndarray:
         """For each word, its log-likelihood per character under the toxic model less that under the ordinary one."""
-        keys, before, word = _keys(listed, self.order)
-        gram, met = _at(self.grams, keys[-1])
-        context, known = _at(self.contexts, before[-1])
+        gram, context, word = _longest(listed, self.order)
+        (gram, met), (context, known) = _at(self.grams, gram), _at(self.contexts, context)
         each = np.where(met, self.gram_ratio[np.where(met, gram, -1)], self.context_ratio[np.where(known, context, -1)])
         return np.bincount(word, each, minlength=len(listed)) / np.bincount(word, minlength=len(listed))
 
@@ -136,18 +138,22 @@ class Model:
         return sigmoid(self.weights[0] * self.evidence(texts, kept) + self.weights[1])
 
 
-def _shared(grams: np.ndarray, contexts: np.ndarray, discount: float = 0.75) -> np.ndarray:
-    """P(last character | the characters before it, but the first) for distinct n-grams of the words of
-    both classes, given by the hashes of _keys, interpolated over the orders below theirs."""
-    chance = np.full(grams.shape[1], 1.0 / 200)
-    for n in range(len(grams) - 1):
-        _, once = np.unique(grams[n + 1], return_index=True)
-        endings, distinct, ending = np.unique(grams[n], return_index=True, return_inverse=True)
-        count = np.bincount(ending[once], minlength=len(endings)).astype(float)
-        _, owner = np.unique(contexts[n], return_inverse=True)
-        total = np.bincount(owner[distinct], count)
-        spare = np.bincount(owner[distinct], np.minimum(count, discount)) / total
-        chance = np.maximum(count - discount, 0)[ending] / total[owner] + spare[owner] * chance
+def _shared(listed: list[str], order: int, picked: np.ndarray, discount: float = 0.75) -> np.ndarray:
+    """P(last character | the characters before it, but the first) in the words of both classes for the
+    n-grams at `picked`, which are all distinct ones, interpolated over the orders below theirs."""
+    chance = np.full(len(picked), 1.0 / 200)
+    before = None
+    for gram, context in _orders(listed, order):
+        gram, context = gram[picked], context[picked]
+        if before is not None:
+            _, once = np.unique(gram, return_index=True)  # a continuation for each distinct longer ending
+            endings, distinct, ending = np.unique(before[0], return_index=True, return_inverse=True)
+            count = np.bincount(ending[once], minlength=len(endings)).astype(float)
+            _, owner = np.unique(before[1], return_inverse=True)
+            total = np.bincount(owner[distinct], count)
+            spare = np.bincount(owner[distinct], np.minimum(count, discount)) / total
+            chance = np.maximum(count - discount, 0)[ending] / total[owner] + spare[owner] * chance
+        before = gram, context
     return chance
 
 
@@ -163,34 +169,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: list[tuple[int, list[str]]], share: float | None = None) -> Model:
-    """The models of all texts; their difference is calibrated on texts that models of the other half score.
-
-    share: of toxic texts among all labelled ones, where it differs from that among texts.
-    """
-    model = Model(texts)
-    y = np.array([label for label, _ in texts], float)
-    model.share = (float(y.mean()) if share is None else share) if len(y) else 0.5
-    if 0 < y.sum() < len(y):
-        halves = [texts[part::2] for part in (0, 1)]
-        x = np.zeros(len(y))
-        for part in (0, 1):
-            x[part::2] = Model(halves[1 - part]).evidence([ws for _, ws in halves[part]])
-        weight = np.where(y == 1, model.share / y.mean(), (1 - model.share) / (1 - y.mean()))
-        model.weights = _logistic(x, y, weight)
-    return model
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct (word before, word) of each text, with its half and label."""
+    for batch in batches:
+        out = {"half": [], "toxic": [], "before": [], "word": []}
+        for half, label, text in zip(batch.column("half").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+            found = words(text.as_py())
+            for before, word in set(zip(["", *found], found)):  # noqa: B905
+                for column, value in zip(out.values(), (half, label, before, word), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out["half"], pa.int32()), pa.array(out["toxic"], pa.int32()), pa.array(out["before"], pa.string()), pa.array(out["word"], pa.string())], names=list(out))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Model:
-    """Learns from a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(remainder(F.col("doc_id"), FOLDS) != 0)
-    chosen = bounded_sample(known.where(remainder(F.col("doc_id"), FOLDS) != 0), "toxic", bound, F.col("doc_id"))
-    total = known.where(remainder(F.col("doc_id"), FOLDS) != 0).agg(F.avg("toxic")).first()[0]
+    """Learns from a bounded sample of the labelled rows outside the held-out fold.
 
-    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
-    texts = sorted(((r["doc_id"], r["toxic"], r["text"]) for r in found), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    return train([(label, words(text)) for _, label, text in texts], total)
+    The sample is halved by hash; models of either half score the other, which calibrates the score.
+    """
+    spark = docs.sparkSession
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(remainder(F.col("doc_id"), FOLDS) != 0)
+    chosen = bounded_sample(known, "toxic", bound, F.col("doc_id")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = stored(rows.join(F.broadcast(chosen), "doc_id").select("half", "toxic", "text"), "labelled")
+    pairs = rows.mapInArrow(_pairs, "half int, toxic int, before string, word string").distinct()
+    counts: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
+    for r in pairs.groupBy("half", "toxic", "word").agg(F.count("*").cast("int").alias("n")).toLocalIterator():
+        counts[r["half"]][r["toxic"]][r["word"]] = r["n"]
+    halves = spark.sparkContext.broadcast([Model(c) for c in counts])
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [float(halves.value[1 - half].evidence([words(t.as_py())])[0]) for half, t in zip(batch.column("half").to_pylist(), batch.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], names=["toxic", "x"])
+
+    scored = rows.select("half", "toxic", "text").mapInArrow(crossed, "toxic int, x double").orderBy("toxic", "x").collect()
+    together = tuple({w: counts[0][c].get(w, 0) + counts[1][c].get(w, 0) for w in counts[0][c].keys() | counts[1][c].keys()} for c in (0, 1))
+    model = Model(together)
+    y, x = np.array([r["toxic"] for r in scored], float), np.array([r["x"] for r in scored], float)
+    share = known.agg(F.avg("toxic")).first()[0]
+    model.share = 0.5 if share is None else float(share)
+    if 0 < y.sum() < len(y):
+        model.weights = _logistic(x, y, np.where(y == 1, model.share / y.mean(), (1 - model.share) / (1 - y.mean())))
+    return model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
