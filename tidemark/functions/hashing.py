@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.constants import FOLDS
 
 
+def digit_sum(text: Column) -> Column:
+    """Sum of the hex digits of sha256(text)."""
+    digits = F.sha2(text, 256)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0), lambda s, i: s + F.instr(F.lit("0123456789abcdef"), F.substr(digits, i, F.lit(1))) - 1)
+
+
 def sha256_mod5(text: Column) -> Column:
     """sha256(text), as one number, modulo 5: 16 is 1 modulo 5, so it is the sum of the hex digits modulo 5."""
-    digits = F.sha2(text, 256)
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0), lambda s, i: s + F.instr(F.lit("0123456789abcdef"), F.substr(digits, i, F.lit(1))) - 1)
-    return (total % FOLDS).cast("int")
+    return (digit_sum(text) % FOLDS).cast("int")
 
 
 def is_lockbox(client_id: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as C
 from tidemark.operators import features, grammar, prior, streams, validate
-from tidemark.plans.oracle import each, sql
+from tidemark.plans.oracle import sql
 from tidemark.plans.registry import query, rounded, rounded_sql
 from tidemark.sources import adapters
 
@@ -140,4 +140,3 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wide, ("client_id", "c_rows", "c_n_active"), [f"{f}__{c}" for f in C.FAMILIES for c in _W])
 
 
-__all__ = ["all_features", "described", "records", "Column", "each"]

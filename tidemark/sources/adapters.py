@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as C
+from tidemark.functions.hashing import digit_sum, uniform
 
 CUTOFF = "2024-02-01"
 LONG_CUTOFF = "2002-01-01"
@@ -102,3 +103,19 @@ def long_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumn("currency", F.when(F.col("currency") == "o", "chf").otherwise("eur"))
     df = df.withColumn("direction", F.when(F.col("type") == "refund", "in").otherwise("out"))
     return _dated(_described(df, "row_id", "k"), LONG_CUTOFF).select(*COLUMNS)
+
+
+def clients(transactions: DataFrame) -> DataFrame:
+    """client_id, split and label of each client, by hash."""
+    split = _pick(("train", "valid", "test", "unlabeled"), digit_sum(F.concat(F.lit("split:"), "client_id")) % 4)
+    label = _pick(C.CLASSES, digit_sum(F.col("client_id")) % len(C.CLASSES))
+    return transactions.select("client_id").distinct().select("client_id", split.alias("split"), label.alias("label"))
+
+
+def scores(people: DataFrame, seed: int) -> DataFrame:
+    """client_id and, for each class, a chance by hash; a stand-in for a model's output."""
+    raw = {c: uniform(seed, F.concat(F.col("client_id"), F.lit(f":{c}")), "p") for c in C.CLASSES}
+    df = people.select("client_id", "label", *(u.alias(c) for c, u in raw.items()))
+    df = df.withColumns({c: F.col(c) + F.when(F.col("label") == c, 0.5).otherwise(0.0) for c in C.CLASSES})
+    total = sum((F.col(c) for c in C.CLASSES[1:]), F.col(C.CLASSES[0]))
+    return df.select("client_id", *((F.col(c) / total).alias(c) for c in C.CLASSES))
