@@ -37,6 +37,8 @@ MARK = "▁"
 HEAD = 100_000
 #: Distinct words that a task counts before it hands its counts on.
 FLUSH = 150_000
+#: Words longer than this, or less likely than that, are cut in two for the expectation step.
+SAFE, FAINT = 64, 1e-200
 #: Weight, in pieces, of the vocabulary's own scores beside the corpus' expected counts.
 PRIOR = 2000.0
 
@@ -68,12 +70,13 @@ def default_vocabulary() -> str:
 
 
 class Lattice:
-    """Forward and backward sums over the segmentations of words."""
+    """Sums over the segmentations of words."""
 
     def __init__(self, path: str, weights: np.ndarray | None = None):
         names, first, self.end = _pieces(path)
         with np.errstate(divide="ignore"):
             self.logs = np.log(first if weights is None else weights).tolist()
+        self.chances = (first if weights is None else weights).tolist()
         self.ids = {name: i for i, name in enumerate(names) if i != self.end and not name.startswith("<0x") and self.logs[i] > -math.inf}
         self.bytes = [self.ids_of_byte(names, b) for b in range(256)]
         self.longest = max(map(len, self.ids), default=1)
@@ -82,60 +85,76 @@ class Lattice:
     def ids_of_byte(names: list[str], b: int) -> int:
         return 3 + b if names[3 + b] == f"<0x{b:02X}>" else names.index(f"<0x{b:02X}>")
 
-    def edges(self, word: str) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """(start, stop, pieces) by start."""
-        ids, longest, n = self.ids, self.longest, len(word)
+    def spelled(self, char: str) -> tuple[int, ...]:
+        return tuple([self.bytes[b] for b in char.encode("utf-8", "surrogatepass")])
+
+    def forward(self, word: str) -> float:
+        """Log probability of the word, summed over all its segmentations."""
+        word = MARK + word
+        ids, logs, longest, n, exp, log1p = self.ids, self.logs, self.longest, len(word), math.exp, math.log1p
+        ahead: list[float | None] = [None] * (n + 1)
+        ahead[0] = 0.0
         for i in range(n):
+            here = ahead[i]
             for j in range(i + 1, min(n, i + longest) + 1):
                 piece = ids.get(word[i:j])
                 if piece is not None:
-                    yield i, j, (piece,)
+                    new = here + logs[piece]
                 elif j == i + 1:
-                    yield i, j, tuple(self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass"))
-
-    def forward(self, word: str) -> float:
-        """Log probability of the word, summed over all its segmentations."""
-        word = MARK + word
-        ids, logs, longest, n = self.ids, self.logs, self.longest, len(word)
-        reach: list[list[float]] = [[] for _ in range(n + 1)]
-        reach[0] = [0.0]
+                    new = here + sum([logs[b] for b in self.spelled(word[i])])
+                else:
+                    continue
+                old = ahead[j]
+                if old is None:
+                    ahead[j] = new
+                elif new > old:
+                    ahead[j] = new + log1p(exp(old - new))
+                else:
+                    ahead[j] = old + log1p(exp(new - old))
+        return ahead[n]
+
+    def expect(self, word: str, weight: float, counts: list[float]) -> None:
+        """Add to counts how often each piece is expected in so many occurrences of the word.
+
+        Plain sums of products; a word for which they might underflow is cut in two.
+        """
+        whole, word = word, MARK + word
+        if len(word) > SAFE:
+            return self._halves(whole, weight, counts)
+        ids, chances, longest, n = self.ids, self.chances, self.longest, len(word)
+        ahead = [0.0] * (n + 1)
+        ahead[0] = 1.0
+        edges = []
         for i in range(n):
-            terms = reach[i]
-            reach[i] = None
-            top = max(terms)
-            here = top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
+            here = ahead[i]
             for j in range(i + 1, min(n, i + longest) + 1):
                 piece = ids.get(word[i:j])
                 if piece is not None:
-                    reach[j].append(here + logs[piece])
+                    chance = chances[piece]
+                    edges.append((i, j, piece, chance))
                 elif j == i + 1:
-                    reach[j].append(here + sum([logs[self.bytes[b]] for b in word[i].encode("utf-8", "surrogatepass")]))
-        top = max(reach[n])
-        return top + math.log(sum([math.exp(t - top) for t in reach[n]]))
-
-    def expect(self, word: str, weight: float, counts: np.ndarray) -> None:
-        """Add to counts how often each piece is expected in so many occurrences of the word."""
-        word = MARK + word
-        edges, n, logs = list(self.edges(word)), len(word), self.logs
-        costs = [logs[p[0]] if len(p) == 1 else sum([logs[x] for x in p]) for _, _, p in edges]
-        ahead = [-math.inf] * (n + 1)
-        ahead[0] = 0.0
-        for (i, j, _), cost in zip(edges, costs, strict=True):
-            ahead[j] = _add(ahead[j], ahead[i] + cost)
-        behind = [-math.inf] * (n + 1)
-        behind[n] = 0.0
-        for (i, j, _), cost in zip(reversed(edges), reversed(costs), strict=True):
-            behind[i] = _add(behind[i], behind[j] + cost)
-        for (i, j, pieces), cost in zip(edges, costs, strict=True):
-            share = weight * math.exp(ahead[i] + cost + behind[j] - ahead[n])
-            for p in pieces:
-                counts[p] += share
-
-
-def _add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+                    pieces = self.spelled(word[i])
+                    chance = math.prod([chances[b] for b in pieces])
+                    edges.append((i, j, pieces, chance))
+                else:
+                    continue
+                ahead[j] += here * chance
+        if ahead[n] < FAINT and len(whole) > 1:
+            return self._halves(whole, weight, counts)
+        behind = [0.0] * (n + 1)
+        behind[n] = weight / ahead[n]
+        for i, j, piece, chance in reversed(edges):
+            on = chance * behind[j]
+            behind[i] += on
+            if type(piece) is int:
+                counts[piece] += ahead[i] * on
+            else:
+                for b in piece:
+                    counts[b] += ahead[i] * on
+
+    def _halves(self, word: str, weight: float, counts: list[float]) -> None:
+        for part in (word[: len(word) // 2], word[len(word) // 2 :]):
+            self.expect(part, weight, counts)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +185,15 @@ def estimate(counts: DataFrame, path: str, prior: float = PRIOR) -> np.ndarray:
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path)
-        sums = np.zeros(len(lattice.logs))
+        sums = [0.0] * len(lattice.logs)
         for batch in batches:
             for token, n in zip(batch.column("token").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 if token == END:
                     sums[lattice.end] += n
                 else:
                     lattice.expect(token, n, sums)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.float64())], names=["piece", "n"])
+        some = [i for i, n in enumerate(sums) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([sums[i] for i in some], pa.float64())], names=["piece", "n"])
 
     _, first, _ = _pieces(path)
     sums = prior * first
@@ -206,33 +225,36 @@ def score(docs: DataFrame, train: Column, vocabulary: str | None = None, head: i
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     weights = estimate(counts, path)
     frequent, limit = _head(counts, head)
-    known = spark.sparkContext.broadcast(frequent)
+    lattice = Lattice(path, weights)
+    known = spark.sparkContext.broadcast({t: (math.log10(n + 1), lattice.forward(t.decode("utf-8", "surrogatepass")) if t else 0.0) for t, n in frequent.items()})
     shared = spark.sparkContext.broadcast(weights)
-    listed = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
+    ended = frequent.get(b"", 0)
+    end = lattice.logs[lattice.end]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, own = Lattice(path, shared.value), known.value
-        log, chance, end = {t: math.log10(n + 1) for t, n in own.items()}, {}, lattice.logs[lattice.end]
-        ended = own.get(b"", 0)
+        own = known.value
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out, rare, times, offsets = [[] for _ in range(4)], [], [], [0]
             for text in batch.column("text"):
                 words = tokens(text.as_py())
-                base, model, n_known, rest = math.log10(ended + 1), end, int(ended > 0), []
+                base, model, n_known = math.log10(ended + 1), end, int(ended > 0)
                 for word, k in Counter(words).items():
-                    if word in log:
-                        if word not in chance:
-                            chance[word] = lattice.forward(word.decode("utf-8", "surrogatepass"))
-                        base += k * log[word]
-                        model += k * chance[word]
-                        n_known += k
+                    found = own.get(word)
+                    if found is None:
+                        rare.append(word)
+                        times.append(k)
                     else:
-                        rest.append({"token": word.decode("utf-8", "surrogatepass"), "k": k})
-                for column, value in zip(out, (len(words) + 1, n_known, base, model, rest), strict=True):
+                        base += k * found[0]
+                        model += k * found[1]
+                        n_known += k
+                offsets.append(len(rare))
+                for column, value in zip(out, (len(words) + 1, n_known, base, model), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), listed)
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["token", "k"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, out, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"]
+                [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, out, kinds), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"],
             )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rest array<struct<token:string,k:bigint>>"
