@@ -47,7 +47,7 @@ CTES: dict[str, str] = {
     CASE WHEN event_type = 'error' THEN 'refund' WHEN event_type = 'signup' THEN ['topup','p2p_transfer','transfer','atm','fee'][event_id % 5 + 1] ELSE 'card_payment' END AS type,
     CASE WHEN value > 0 THEN CAST(((floor(ln(CASE WHEN value > 0 THEN value END) * 8) % 7) + 7) % 7 AS INT) END AS fam
     FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events)))""",
-    "txn": "SELECT * FROM raw_txn WHERE amount > 0",
+    "txn": "SELECT * EXCLUDE (fam, base, k) FROM raw_txn WHERE amount > 0",
     "long_txn": f"""{_DESCRIBE} (SELECT *, CASE WHEN flag = 'R' THEN 'in' ELSE 'out' END AS direction, CASE WHEN flag = 'R' THEN 'refund' ELSE 'card_payment' END AS type,
     CAST(((floor(ln(amount) * 8) % 7) + 7) % 7 AS INT) AS fam FROM (
     SELECT CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || CAST(l_quantity AS BIGINT)), 1, 13) AS BIGINT) AS row_id,
