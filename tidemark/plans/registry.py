@@ -24,10 +24,10 @@ def query(oracle: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, keys, values, digits: int = 6) -> DataFrame:
-    """keys as they are, values as doubles of so many digits."""
-    return df.select(*keys, *(F.round(F.col(f"`{v}`").cast("double"), digits).alias(v) for v in values))
+def rounded(df: DataFrame, keys, values, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """keys as they are, values as doubles of so many digits; nudge takes exact halves off the fence."""
+    return df.select(*keys, *(F.round(F.col(f"`{v}`").cast("double") + nudge, digits).alias(v) for v in values))
 
 
-def rounded_sql(source: str, keys, values, digits: int = 6) -> str:
-    return f"SELECT {', '.join(keys)}, {', '.join(f'round(CAST(\"{v}\" AS DOUBLE), {digits}) AS \"{v}\"' for v in values)} FROM {source}"
+def rounded_sql(source: str, keys, values, digits: int = 6, nudge: float = 0.0) -> str:
+    return f"SELECT {', '.join(keys)}, {', '.join(f'round(CAST(\"{v}\" AS DOUBLE) + {nudge}::DOUBLE, {digits}) AS \"{v}\"' for v in values)} FROM {source}"
