@@ -22,7 +22,8 @@ from tidemark.llm.common import stored
 SPAN = 10
 K = 5
 WIDTH = SPAN - K + 1
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of the lower-cased text, found in the text as it is.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark fingerprints up to this many are broadcast (about 200 bytes each); more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -30,13 +31,15 @@ BROADCAST_ROWS = 200_000
 BROADCAST_KEYS = 1_000_000
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+def _lowered(word: Column) -> Column:
+    """A-Z lowered, and no other letters. Words of bytes below 128 alone take the short way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
     """Adds hw: the hashes of the words of column text."""
-    return df.withColumn("hw", F.transform(F.coalesce(_words(F.col("text")), F.array().cast("array<string>")), lambda w: F.xxhash64(w)))
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return df.withColumn("hw", F.transform(words, lambda w: F.xxhash64(_lowered(w))))
 
 
 def _let(value: Column, body) -> Column:
@@ -115,21 +118,35 @@ def _met(rows: DataFrame, prints: str, grams: str, span: int, wanted: DataFrame)
     return placed.where(fits & same).select("doc_id", "key", start.alias("start"), (start + span - 1).alias("stop"), "ids")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, key, spans (sorted start, stop of the windows), items (distinct item ids) for documents with a hit."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key(F.col("text")).alias("key"))
+
+
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_words, prints of every row: the one pass that looks at all words."""
+    rows = _fingerprints(_hashed(_texts(docs)).select("doc_id", "key", "hw"))
+    return stored(rows.select("doc_id", "key", F.size("hw").cast("long").alias("n_words"), "prints"), "fingerprints")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, marked: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, key, spans (sorted start, stop of the windows), items (distinct item ids) for documents with a hit.
+
+    The fingerprints of all documents are met with those of the benchmark; only the documents that
+    share one are read again, for the words around it.
+    """
+    marked = fingerprinted(docs) if marked is None else marked
     wanted = stored(benchmark_prints(benchmark), "prints")
     small = wanted.count() <= broadcast_rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key(F.col("text")).alias("key"))
-    if not small:
-        grams = _fingerprints(_hashed(texts)).select("key", F.explode_outer("prints").alias("value")).join(wanted.select("value").distinct(), "value", "left_semi")
-        texts = texts.join(stored(grams.select("key").distinct(), "met"), "key", "left_semi")
-    rows = _hashed(texts).select("doc_id", "key", "hw")
-    found = _met(_fingerprints(rows), "prints", "grams", SPAN, F.broadcast(wanted) if small else wanted)
+    sized = lambda df: F.broadcast(df) if small else df
+    shared = marked.select("key", F.explode_outer("prints").alias("value")).join(sized(wanted.select("value").distinct()), "value", "left_semi")
+    shared = stored(shared.select("key").distinct(), "shared")
+    few = shared.count() <= BROADCAST_KEYS
+    rows = _hashed(_texts(docs).join(F.broadcast(shared) if few else shared, "key", "left_semi")).select("doc_id", "key", "hw")
+    found = _met(_fingerprints(rows), "prints", "grams", SPAN, sized(wanted))
     for n, items in short_items(benchmark).items():
-        few = items.count() <= broadcast_rows
-        base = rows if small else _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key(F.col("text")).alias("key")))
-        marked = base.withColumn("grams", _grams(F.col("hw"), n)).withColumn("each", F.array_distinct("grams"))
-        found = found.unionByName(_met(marked, "each", "grams", n, F.broadcast(items) if few else items))
+        brief = items.count() <= broadcast_rows
+        every = _hashed(_texts(docs)).select("doc_id", "key", "hw").withColumn("grams", _grams(F.col("hw"), n)).withColumn("each", F.array_distinct("grams"))
+        found = found.unionByName(_met(every, "each", "grams", n, F.broadcast(items) if brief else items))
     return found.groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items")
     )
@@ -148,12 +165,9 @@ def _covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, spans and items as in hits (null without a hit)."""
-    counted = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        _key(F.col("text")).alias("key"),
-        F.coalesce(F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
-    found = hits(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "spans", "items")
+    marked = fingerprinted(docs)
+    counted = marked.select("doc_id", "key", "n_words")
+    found = hits(docs, benchmark, marked).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "spans", "items")
     same = counted["doc_id"].eqNullSafe(found["hit_id"]) & (counted["key"] == found["hit_key"])
     return counted.join(found, same, "left").select("doc_id", "n_words", "spans", "items")
 
