@@ -228,7 +228,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str | None = None, head: i
     lattice = Lattice(path, weights)
     known = spark.sparkContext.broadcast({t: (math.log10(n + 1), lattice.forward(t.decode("utf-8", "surrogatepass")) if t else 0.0) for t, n in frequent.items()})
     shared = spark.sparkContext.broadcast(weights)
-    ended = frequent.get(b"", 0)
+    ended = next((r["n"] for r in counts.where(F.col("token") == END).collect()), 0)
     end = lattice.logs[lattice.end]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
