@@ -43,12 +43,12 @@ def adjust_none(chances: DataFrame, weight: float = 0.8) -> DataFrame:
 
 
 def from_scores(scores: DataFrame, none: DataFrame) -> DataFrame:
-    """Chances from family scores (client_id, family, score) and p_none: scores sum to 1 - p_none. Several rows
-    of a client and family, as from several models, are averaged first."""
-    mean = scores.groupBy("client_id", "family").agg(F.avg("score").alias("score"))
-    share = mean.withColumn("share", F.try_divide("score", F.sum("score").over(Window.partitionBy("client_id"))))
-    wide = share.groupBy("client_id").agg(*(F.max(F.when(F.col("family") == f, F.col("share"))).alias(f) for f in C.FAMILIES))
-    return wide.join(none, "client_id").select("client_id", *((F.col(f) * (1 - F.col("p_none"))).alias(f) for f in C.FAMILIES), F.col("p_none").alias(C.NONE))
+    """Chances from scores (client_id, seed, family, score) and (client_id, seed, p_none): for each seed a
+    client's scores sum to 1 - p_none; the seeds are averaged."""
+    by = ["client_id", "seed"]
+    share = scores.withColumn("share", F.try_divide("score", F.sum("score").over(Window.partitionBy(*by))))
+    wide = share.groupBy(*by).agg(*(F.max(F.when(F.col("family") == f, F.col("share"))).alias(f) for f in C.FAMILIES)).join(none, by)
+    return wide.groupBy("client_id").agg(*(F.avg(F.col(f) * (1 - F.col("p_none"))).alias(f) for f in C.FAMILIES), F.avg("p_none").alias(C.NONE))
 
 
 def softmax(rows: DataFrame, score: str = "score", by: str = "client_id") -> DataFrame:

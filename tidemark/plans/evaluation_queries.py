@@ -114,11 +114,14 @@ def none_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.adjust_none(adapters.scores(_people(spark, sf_dir), 0)), ("client_id",), C.CLASSES)
 
 
-@query(sql(f"SELECT client_id, {', '.join(f'round(({c}) / ({" + ".join(C.FAMILIES)}) * (1 - q), 6) AS {c}' for c in C.FAMILIES)}, round(q, 6) AS none FROM (SELECT client_id, {', '.join(f'(p0.{c} + p1.{c}) / 2 AS {c}' for c in C.FAMILIES)}, p2.none AS q FROM p0 JOIN p1 USING (client_id) JOIN p2 USING (client_id))", _MORE))
+_SEED = lambda s: f"SELECT p{s}.client_id, {', '.join(f'p{s}.{c} / ({" + ".join(f'p{s}.{x}' for x in C.FAMILIES)}) * (1 - p2.none) AS {c}' for c in C.FAMILIES)}, p2.none FROM p{s} JOIN p2 ON p2.client_id = p{s}.client_id"
+
+
+@query(sql(f"SELECT client_id, {', '.join(f'round(avg({c}), 6) AS {c}' for c in C.CLASSES)} FROM ({_SEED(0)} UNION ALL {_SEED(1)}) GROUP BY client_id", _MORE))
 def predict_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = _people(spark, sf_dir)
-    rows = [adapters.scores(people, s).unpivot("client_id", list(C.FAMILIES), "family", "score") for s in (0, 1)]
-    none = adapters.scores(people, 2).select("client_id", F.col(C.NONE).alias("p_none"))
+    rows = [adapters.scores(people, s).unpivot("client_id", list(C.FAMILIES), "family", "score").withColumn("seed", F.lit(s)) for s in (0, 1)]
+    none = adapters.scores(people, 2).select("client_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"), F.col(C.NONE).alias("p_none"))
     return rounded(metrics.from_scores(rows[0].unionByName(rows[1]), none), ("client_id",), C.CLASSES)
 
 
