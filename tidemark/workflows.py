@@ -39,6 +39,7 @@ class Recipe:
 
     weights: dict[str, float] = field(default_factory=lambda: {"parser_softmax": 1.0})
     seeds: tuple[int, ...] = (0, 1, 2)
+    bag: tuple[int, ...] = (0, 1, 2)
     folds: int = C.FOLDS
     rounds: int = 40
     depth: int = 4
@@ -111,7 +112,7 @@ class ParserSoftmax:
     """Listwise softmax over the parser stack's candidates, on train and valid at both noise levels."""
 
     def __init__(self, views: Views, recipe: Recipe):
-        self.views, self.settings = views, replace(models.LISTWISE, rounds=recipe.rounds, depth=recipe.depth)
+        self.views, self.bag, self.settings = views, recipe.bag, replace(models.LISTWISE, rounds=recipe.rounds, depth=recipe.depth)
 
     def rows(self, names: tuple[str, ...], clients: DataFrame) -> DataFrame:
         out = None
@@ -121,9 +122,9 @@ class ParserSoftmax:
         return out
 
     def fit_predict(self, train: DataFrame, targets: DataFrame) -> DataFrame:
-        rows = self.rows(("trainT", "trainV", "valid", "validT1"), train)
+        rows = self.rows(("trainT", "trainV", "valid", "validT1"), train).persist()
         labels = rows.select("client_id").distinct().withColumn("own", F.substring_index("client_id", "@", 1)).join(train.select(F.col("client_id").alias("own"), "label"), "own").select("client_id", "label")
-        fitted = models.fit_listwise(rows, labels, settings=self.settings)
+        fitted = models.fit_listwise(rows, labels, seeds=self.bag, settings=self.settings)
         asked = self.rows(("train", "valid", "test"), targets)
         return models.predict_listwise(fitted, asked).withColumn("client_id", F.substring_index("client_id", "@", 1))
 
