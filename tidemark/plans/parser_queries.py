@@ -10,6 +10,7 @@ from tidemark.operators import features, grammar, prior, streams, validate
 from tidemark.plans.oracle import sql
 from tidemark.plans.registry import query, rounded, rounded_sql
 from tidemark.sources import adapters
+from tidemark.sources.storage import stored
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +18,10 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Described transactions, stream records and the amount prior."""
-    rows = described(spark, sf_dir)
-    learned = prior.amount_prior(rows)
-    return rows, streams.stream_records(rows, prior.wide(learned)), learned
+    """Described transactions, stream records and the amount prior, each written once: all three are read several times."""
+    rows = stored(described(spark, sf_dir), "described")
+    learned = stored(prior.amount_prior(rows), "prior")
+    return rows, stored(streams.stream_records(rows, prior.wide(learned)), "records"), learned
 
 
 def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tidemark.functions.hashing import fold_of
 from tidemark.operators import augment, calibration, features, grammar, kernel, keyword, metrics, models, prior, splits, streams, validate
 from tidemark.operators.boosting import Model
 from tidemark.sources import readers, writers
+from tidemark.sources.storage import stored
 
 #: Named views: split, noise, level, seed. Fixed values.
 VIEWS = {
@@ -89,22 +90,26 @@ class Views:
 
     def __init__(self, data: Data):
         self.data, self.tables = data, {}
-        self.prior = prior.amount_prior(grammar.described(data.transactions["unlabeled_pretrain"])).persist()
+        self.prior = stored(prior.amount_prior(grammar.described(data.transactions["unlabeled_pretrain"])), "prior")
+
+    def _described(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        described = stored(grammar.described(rows), "described")
+        return described, stored(streams.stream_records(described, prior.wide(self.prior)), "records")
 
     def transactions(self, name: str) -> DataFrame:
         split, kind, level, seed = VIEWS[name]
         rows = self.data.transactions[split]
         if kind is None:
             return rows
-        described = grammar.described(rows)
         if kind == "add":
-            return augment.replaced(rows, augment.add_noise(described, level, seed))
-        return augment.replaced(rows, augment.redraw_noise(described, streams.stream_records(described, prior.wide(self.prior)), level, seed))
+            return stored(augment.replaced(rows, augment.add_noise(grammar.described(rows), level, seed)), name)
+        return stored(augment.replaced(rows, augment.redraw_noise(*self._described(rows), level, seed)), name)
 
     def features(self, name: str) -> DataFrame:
+        """Written once, as every fold reads it."""
         if name not in self.tables:
-            described = grammar.described(self.transactions(name))
-            self.tables[name] = features.build_features(described, streams.stream_records(described, prior.wide(self.prior)), self.prior).persist()
+            described, records = self._described(self.transactions(name))
+            self.tables[name] = stored(features.build_features(described, records, self.prior), "features")
         return self.tables[name]
 
 
@@ -122,11 +127,11 @@ class ParserSoftmax:
         return out
 
     def fit_predict(self, train: DataFrame, targets: DataFrame) -> DataFrame:
-        rows = self.rows(("trainT", "trainV", "valid", "validT1"), train).persist()
+        rows = self.rows(("trainT", "trainV", "valid", "validT1"), train)
         labels = rows.select("client_id").distinct().withColumn("own", F.substring_index("client_id", "@", 1)).join(train.select(F.col("client_id").alias("own"), "label"), "own").select("client_id", "label")
         fitted = models.fit_listwise(rows, labels, seeds=self.bag, settings=self.settings)
         asked = self.rows(("train", "valid", "test"), targets)
-        return models.predict_listwise(fitted, asked).withColumn("client_id", F.substring_index("client_id", "@", 1))
+        return stored(models.predict_listwise(fitted, asked).withColumn("client_id", F.substring_index("client_id", "@", 1)), "chances")
 
 
 class KeywordStreams:
@@ -209,7 +214,7 @@ def ensemble(data: Data, recipe: Recipe, out: str | None = None) -> dict[str, Da
             chances = metrics.blend({n: p.fit_predict(train, held) for n, p in parts.items()}, recipe.weights)
             run = held.join(metrics.argmax_labels(chances), "client_id").select("client_id", F.lit(seed).alias("seed"), F.lit(k).alias("fold"), "is_valid", F.col("label").alias("truth"), "prediction")
             runs = run if runs is None else runs.unionByName(run)
-    runs = runs.persist()
+    runs = stored(runs, "runs")
     results = {"scores": metrics.score_repetitions(runs)}
     wide = runs.groupBy("client_id", "truth").agg(*(F.max(F.when(F.col("seed") == s, F.col("prediction"))).alias(f"seed_{s}") for s in recipe.seeds))
     results["interval"] = metrics.interval(metrics.bootstrap(wide, [f"seed_{s}" for s in recipe.seeds], recipe.bootstrap))
