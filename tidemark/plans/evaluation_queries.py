@@ -224,7 +224,7 @@ def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.join(found[0], "client_id").join(found[1], "client_id").select(F.col("label").alias("truth"), "first", "second")
 
 
-SAMPLES = 400
+SAMPLES = C.BOOTSTRAP_SAMPLES
 
 
 @query(sql("SELECT round(quantile_cont(f, 0.025), 6) AS lower, round(quantile_cont(f, 0.975), 6) AS upper, count(*) AS samples FROM (SELECT sample, avg(f) AS f FROM bf GROUP BY sample)", _MORE | _boot(C.BOOTSTRAP_SEED, SAMPLES)))
