@@ -12,7 +12,7 @@ gives an empty result; columns beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +135,9 @@ def op6_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, components_of: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """Of each component the row that represents it, with docs' columns; of equal such rows the least by the other columns."""
-    found = near_duplicates(docs)
+    found = components_of(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("first_hash")))
     kept = stored(kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("copies")), "kept")
     own = text_hash(docs["text"])
