@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tidemark.llm import near_copies
+from tidemark.llm import near_copies, neighbours
 
 
 def _near(spark):
@@ -34,3 +37,18 @@ def test_near_copies_meet_away_from_the_ends_of_a_band(spark):
     rows = [(i, " ".join(words[8 * i : 8 * i + 200])) for i in range(20)]
     found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in found} == {0}
+
+
+def test_neighbours_window_grows_with_the_table(spark):
+    """Blocks that are small against the table: the window is a share of the table, not three of them."""
+    for total in (51_282, 200_000, 600_000, 50_000_000):
+        block, beside = neighbours.window(total)
+        assert block <= neighbours.MOST and beside * block >= neighbours.SHARE * total
+    x = np.random.default_rng(2).normal(size=(3000, 16))
+    found = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block=8).collect()
+    hits = 0
+    for i in range(0, 3000, 50):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == i})
+    assert hits / 600 >= 0.9

@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
 Vectors are projected, shifted, quantised and put in order along several Hilbert curves. Along each
-curve the rows are range-partitioned and numbered, and cut into blocks of BLOCK rows; a query is
-compared with the rows of its own block and of the two beside it, by the exact distance in double
-precision. The best of each curve are merged, and the exact distances rank them.
+curve the rows are range-partitioned and numbered, and cut into blocks; a query is compared with the
+rows of its own block and of the blocks within SHARE of the table on either side, by the exact distance
+in double precision. The best of each curve are merged, and the exact distances rank them.
 
 Equal vectors are one point of the curves, with the K + 1 smallest ids at it (a query needs no more of
 them), so a vector that is repeated millions of times neither fills a block nor hides its neighbours.
 
-The work for a query does not grow with the table (CURVES * 3 * BLOCK comparisons), so recall falls
-slowly as the table grows and is raised by `curves` or `block`. Measured against brute force: see README.
+The searched share of a curve, not its number of rows, stays constant, so recall holds as the table
+grows and the work for a query grows with the table. A block has BLOCK to MOST rows, so no task's does:
+larger tables have more blocks on either side. Measured against brute force: see README.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, nor do rows with a null id; a query is compared with vectors of its own length only; equal
@@ -19,6 +20,7 @@ neighbour of a query with that id; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ K = 10
 CURVES = 16
 #: Dimensions of a projection, and bits of each, that a curve runs through.
 DIMENSIONS, BITS = 8, 4
-BLOCK = 1024
+#: Share of the rows that is searched on either side of a query's block; rows of a block, at least and at most.
+SHARE = 0.02
+BLOCK, MOST = 1024, 8192
 #: Vectors that are looked at to fit the scale of the projections, at most.
 SCALE_ROWS = 4096
 
@@ -144,12 +148,20 @@ def _best(k: int):
     return run
 
 
+def window(total: int, block: int = BLOCK) -> tuple[int, int]:
+    """Rows of a block, and how many blocks on either side of its own a query is compared with."""
+    beside = math.ceil(SHARE * total)
+    block = max(block, min(beside, MOST))
+    return block, max(1, math.ceil(beside / block))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for every vector whose id meets is_query (a condition on vec_id) its
     k nearest found among the others, by Euclidean distance, ties to the smaller id."""
     spark = vectors.sparkSession
     known = stored(points(vectors, k), "points")
     total = known.count()
+    block, beside = window(total, block)
     share = F.lit(min(1.0, SCALE_ROWS / max(total, 1)))
     sample = known.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * SCALE_ROWS).select("embedding").collect()
     by_length: dict[int, list] = {}
@@ -172,7 +184,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVE
     members = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     members = members.where(F.col("vec_id").isNotNull() & is_query & valid(F.col("embedding"))).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).distinct()
     queries = stored(members.join(known.select("point", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "point"), "queries")
-    asked = placed.join(queries.select("point").distinct(), "point", "left_semi").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    asked = placed.join(queries.select("point").distinct(), "point", "left_semi").withColumn("block", F.explode(F.sequence(F.col("block") - beside, F.col("block") + beside)))
     both = placed.select("curve", "block", "point", "embedding", F.lit(False).alias("asks")).unionByName(asked.select("curve", "block", "point", "embedding", F.lit(True).alias("asks")))
     found = both.groupBy("curve", "block").applyInPandas(_best(k), "query long, point long, square double")
     top = Window.partitionBy("query").orderBy("square", "point")
