@@ -29,9 +29,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs that are looked at for randomness, and the characters for each token below which they count as random.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RATIO = 2.1
-#: Digests by their length in hex digits, and identifiers of a known form. Fixed values.
+#: Digests by their length in hex digits, and identifiers of a known form: UUIDs, numbers, dates. Fixed values.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*)")
-IDENTIFIER = re.compile(r"(?:\{?[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\}?|[0-9_=+/-]+|[A-Za-z_=+/-]+|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9A-Za-z+-]+)")
+IDENTIFIER = re.compile(r"(?:\{?[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\}?|[0-9_=+/-]+|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9A-Za-z+-]+)")
 #: Characters of a run that go through the tokenizer at once.
 BLOCK = 256
 
