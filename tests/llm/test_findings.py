@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import near_copies, neighbours
+from tidemark.llm import licences, near_copies, neighbours
 
 
 def _near(spark):
@@ -52,3 +52,17 @@ def test_neighbours_window_grows_with_the_table(spark):
         d[i] = np.inf
         hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == i})
     assert hits / 600 >= 0.9
+
+
+def test_licences_of_any_line():
+    model = licences.train([], [])
+    named = lambda text: {s[0] for s in model.statements(text)}
+    assert named("Released under the GPL v3.") == {"gpl-3.0"}
+    prose = "the river ran by the garden and people came in the morning to see the stone bridge over the water "
+    for n in range(340, 400, 4):
+        assert "apache-2.0" in named("He asked for permission to go. " + (prose * 9)[:n] + " Licensed under the Apache License, Version 2.0."), n
+        assert "apache-2.0" in named((prose * 9)[:n] + " Licensed under the Apache License, Version 2.0. " + prose * 20), n
+    assert named("Licensed under the MIT license. Licensed under the Apache License, Version 2.0.") == {"mit", "apache-2.0"}
+    for family, texts in licences.TEMPLATES.items():
+        assert all(named(t) == {family} for t in texts), family
+    assert not any(named(t) for t in licences.ORDINARY)

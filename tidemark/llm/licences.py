@@ -1,12 +1,15 @@
 """Licence statements in texts: a trained paragraph classifier, confirmed by templates.
 
-A paragraph that holds a licence word is described by its word 1- to 3-grams; a sparse multinomial
+A paragraph is described by its word 1- to 3-grams; a sparse multinomial
 logistic regression gives the chance of each licence family and of the class `unknown`. The chance
 that is needed is calibrated on paragraphs of the corpus that the regression was not fitted on, and a
 prediction counts only if the paragraph and a template of that family share most of their 3-grams.
 
-Paragraphs are lines; of a line longer than REACH characters on either side of a licence word, the
-part around the word. Adjacent paragraphs of one family are one statement.
+Paragraphs are lines; a line of over 2 * REACH characters is cut into windows of that length, each
+starting REACH after the one before, so a statement of up to REACH characters is whole in one of them.
+Paragraphs without a 3-gram of any template are not classified, as no template could confirm them.
+A paragraph can state several families; a further one has to bring 3-grams that the others do not
+explain. Adjacent paragraphs of one family are one statement.
 
 Defined results: null and empty texts have no statement; rows are kept as often as they come, and all
 their columns (an own `licences` column is replaced); without any text to calibrate on, the needed
@@ -26,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.llm.common import draw
 
-#: Words of which every licence statement holds one. Fixed values.
+#: Licence words: paragraphs with one are looked at in training. Fixed values.
 CUE = re.compile(
     r"\b(?:licen[cs]e[ds]?|sublicense|licensing|copyright|copyleft|permission|redistributions?|warranty|warranties"
     r"|rights reserved|public domain|creative commons|cc0|cc[ -]by|spdx|unlicense)\b",
@@ -159,14 +162,17 @@ def grams(found: list[str], n: int) -> list[str]:
 
 
 def paragraphs(text: str | None) -> Iterator[tuple[int, int]]:
-    """(start, end) of the paragraphs that hold a licence word, in order and without overlap."""
-    text, done = text or "", 0
-    for m in CUE.finditer(text):
-        if m.start() >= done:
-            start = max(text.rfind("\n", done, m.start()) + 1, m.start() - REACH, done)
-            stop = text.find("\n", m.end(), m.end() + REACH)
-            done = stop if stop >= 0 else min(len(text), m.end() + REACH)
-            yield start, done
+    """(start, end) of all paragraphs, in order; only the windows of a long line overlap."""
+    text, start = text or "", 0
+    while start < len(text):
+        end = text.find("\n", start)
+        end = len(text) if end < 0 else end
+        while end - start > 2 * REACH:
+            yield start, start + 2 * REACH
+            start += REACH
+        if end > start:
+            yield start, end
+        start = end + 1
 
 
 class Model:
@@ -175,6 +181,7 @@ class Model:
     def __init__(self, classes: list[str], numbers: dict[str, int], weights: np.ndarray, needed: float = FLOOR):
         self.classes, self.numbers, self.weights, self.needed = classes, numbers, weights, needed
         self.templates = {family: [set(grams(words(t), 3)) or {" ".join(words(t))} for t in texts] for family, texts in TEMPLATES.items()}
+        self.known = set().union(*(t for templates in self.templates.values() for t in templates))
 
     def chances(self, found: list[str]) -> np.ndarray:
         at = _features(found, self.numbers)
@@ -186,24 +193,39 @@ class Model:
         own = set(grams(found, 3))
         return any((common := len(own & t)) >= SHARED * len(t) or common >= max(2, SHARED * len(own)) for t in self.templates[family])
 
-    def classify(self, paragraph: str) -> tuple[str, float]:
+    def families(self, paragraph: str) -> list[tuple[str, float]]:
+        """(family, chance) of the confirmed families, the likeliest first; none where a licence is too unlikely."""
         found = words(paragraph)
+        own = self.known.intersection(grams(found, 3))
+        if not own:
+            return []
         chances = self.chances(found)
-        best = int(chances.argmax())
-        family, chance = self.classes[best], float(chances[best])
-        return (family, chance) if best and chance >= self.needed and self.confirmed(family, found) else (UNKNOWN, chance)
+        if 1 - chances[0] < self.needed:
+            return []
+        listed, explained = [], set()
+        for at in np.argsort(-chances[1:], kind="stable") + 1:
+            family = self.classes[at]
+            shared = own & set().union(*self.templates[family])
+            if not shared <= explained and self.confirmed(family, found):
+                listed.append((family, float(chances[at])))
+                explained |= shared
+        return listed
+
+    def classify(self, paragraph: str) -> tuple[str, float]:
+        return next(iter(self.families(paragraph)), (UNKNOWN, float(self.chances(words(paragraph)).max())))
 
     def statements(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(family, start, end, chance) by start; paragraphs of one family with only white space between are one."""
         listed: list[tuple[str, int, int, float]] = []
+        last: dict[str, int] = {}
         for start, end in paragraphs(text):
-            family, chance = self.classify(text[start:end])
-            if family == UNKNOWN:
-                continue
-            if listed and listed[-1][0] == family and not text[listed[-1][2] : start].strip():
-                listed[-1] = (family, listed[-1][1], end, max(chance, listed[-1][3]))
-            else:
-                listed.append((family, start, end, chance))
+            for family, chance in self.families(text[start:end]):
+                at = last.get(family)
+                if at is not None and not text[listed[at][2] : start].strip():
+                    listed[at] = (family, listed[at][1], end, max(chance, listed[at][3]))
+                else:
+                    last[family] = len(listed)
+                    listed.append((family, start, end, chance))
         return listed
 
 
@@ -247,7 +269,7 @@ def train(ordinary: list[str], calibrate: list[str], epochs: int = 30, seed: int
                 seen[rows_at] += step * step
                 weights[rows_at] -= 0.3 * step / np.sqrt(seen[rows_at])
     model = Model(classes, numbers, weights)
-    high = [float(model.chances(words(p))[1:].max()) for p in (*calibrate, *ORDINARY)]
+    high = [1 - float(model.chances(words(p))[0]) for p in (*calibrate, *ORDINARY)]
     model.needed = float(np.clip(np.quantile(high, 0.999), FLOOR, 0.9))
     return model
 
@@ -267,7 +289,7 @@ def fit(docs: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Model:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
-            found = [t[a:b] for t in texts for a, b in paragraphs(t)] + [p[:REACH] for t in texts for p in t[: 8 * REACH].split("\n")[:4]]
+            found = [t[a:b] for t in texts for a, b in paragraphs(t) if CUE.search(t, a, b)] + [p[:REACH] for t in texts for p in t[: 8 * REACH].split("\n")[:4]]
             yield pa.RecordBatch.from_arrays([pa.array([p for p in found if p.strip() and not _like_template(p)], pa.string())], names=["paragraph"])
 
     found = sorted({r["paragraph"] for r in sample.mapInArrow(cut, "paragraph string").collect()})
