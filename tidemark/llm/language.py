@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,8 @@ SIZES = (1, 2, 3)
 BITS = 13
 FOLDS = 5
 UNKNOWN = "und"
-#: Texts that the classifiers are fitted on, at most; they are shared evenly by the languages.
+#: Texts that the classifiers are fitted on, at most; they are shared evenly by the languages, and a language
+#: with fewer texts than an even share gives all of them. With more languages than this, the rarest are not learned.
 MAX_TRAIN_DOCS = 2400
 #: A text is flagged as ambiguous if its best decoding score is below so many times an even share (0.5 at most).
 AMBIGUOUS = 1.4
@@ -51,7 +51,8 @@ def codewords(classes: int, seed: int = 10) -> np.ndarray:
         code = rng.choice([-1.0, 1.0], (classes, 15 * math.ceil(math.log2(classes))))
         if (np.abs(code.sum(0)) == classes).any():
             continue
-        apart = min(int((a != b).sum()) for a, b in combinations(code, 2))
+        alike = code @ code.T
+        apart = (code.shape[1] - np.max(alike - 2 * code.shape[1] * np.eye(classes))) / 2
         if apart > widest:
             best, widest = code, apart
     return best

@@ -1,6 +1,6 @@
 """Quality by supervised subword embeddings.
 
-Every hashed word and character n-gram has a learned vector; a text is the average of the vectors of
+Every hashed word, pair of words and character n-gram has a learned vector; a text is the average of the vectors of
 its grams, and a softmax layer over the average gives the chance of either label. Vectors and layer
 are fitted together by stochastic gradient descent in numpy on a bounded sample of labelled texts.
 
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, gram_buckets, packed_counts, remainder, sigmoid, word_buckets
+from tidemark.llm.common import gram_buckets, labelled_sample, packed_counts, remainder, sigmoid, word_buckets
 
 FOLDS = 5
-#: Labelled texts that are learned from, at most; half of them of either class.
+#: Labelled texts that are learned from, at most; half of them of either class if both have so many.
 MAX_TRAIN_DOCS = 4000
 THRESHOLD = 0.3
 SIZES = (2, 3, 4)
@@ -88,13 +88,11 @@ def train(rows: list[tuple], share: float | None = None, epochs: int = EPOCHS, s
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Model:
-    """Learns from a bounded sample of the labelled rows outside the held-out fold."""
+    """Learns from a sample of at most bound labelled texts outside the held-out fold, whatever the rows of an id."""
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(remainder(F.col("doc_id"), FOLDS) != 0)
     share = known.agg(F.avg("quality")).first()[0]
-    chosen = bounded_sample(known, "quality", bound, F.col("doc_id"))
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(remainder(F.col("doc_id"), FOLDS) != 0)
-    rows = packed_counts(texts.join(F.broadcast(chosen), "doc_id"), "quality", SIZES, BITS, WORD_BITS)
+    rows = packed_counts(labelled_sample(docs, known, "quality", bound), "quality", SIZES, BITS, WORD_BITS)
     return train(sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())), share)
 
 
