@@ -1,19 +1,20 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two character models of words, one of toxic and one of ordinary labelled texts, discount the counts of
-their n-grams and back off to lower orders that both classes share, built from continuation counts.
-A text's words are compared one by one: the score is a logistic function of the
-largest difference of the two log-likelihoods per character, so one abusive expression shows in a long text, and
-expressions that are rare in both classes say nothing. Inflected and compounded forms share their
-stem's n-grams.
-
-In each half of the sample a word counts once for each distinct word before it, so passages copied
-many times count once.
-
-Defined results: a null text, or one without words, gets the score of no evidence; without labels of
-both classes every score is the share of toxic labels (0.5 without any); several labels of a doc_id
-are all learned from; rows are scored as often as they come; an empty table gives an empty result;
-further columns are ignored. Texts are scored whole.
+"""Toxicity by class-conditional Kneser-Ney models of word sequences.
+
+A toxic and an ordinary model give the chance of each word of a text after the word before it. Both are
+interpolated Kneser-Ney models over continuation counts: a pair counts once for each distinct word
+before it, a word once for each distinct word before it, so passages copied many times count once. Counts
+are discounted and the rest is left to the order below: pairs back off to the class's own words, and these
+to the words of both classes together, so expressions that are rare in both classes say next to nothing.
+
+With r(w) the logarithm of a word's chance under the toxic model over that under the ordinary one, a text
+is described by two length-normalised log-likelihood ratios: the mean of r over the whole text, and the
+largest mean of r over an expression of 1 to SPAN words in it, so one abusive expression shows in a long
+text. A logistic function of both, fitted on texts that the models have not seen, is the score.
+
+Defined results: a null text, or one without words, has both ratios 0; without labels of both classes
+every score is the share of toxic labels (0.5 without any); several labels of a doc_id are all learned
+from; rows are scored as often as they come; an empty table gives an empty result; further columns are
+ignored. Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -26,19 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, remainder, sigmoid, stored
+from tidemark.llm.common import labelled_sample, remainder, sigmoid, stored
 
 FOLDS = 5
-#: Labelled texts that are learned from, at most; half of them of either class.
+#: Labelled texts that are learned from, at most; half of them of either class if both have so many.
 MAX_TRAIN_DOCS = 2400
 THRESHOLD = 0.5
-#: Characters of an n-gram; counts up to the discount are left to the shared lower orders.
-ORDER = 6
-DISCOUNT = 2.0
-#: Distinct words that a worker keeps the differences of.
-KEPT = 300_000
+#: Words of an expression, at most.
+SPAN = 3
+#: Parts of the sample; models of all but one part score that part.
+PARTS = 5
+#: The discount of word counts is one for so many texts of the smaller class, at least 1; that of pairs is PAIRS
+#: times as large. A word or pair tells the classes apart only if it comes after more different words than that.
+TEXTS_A_DISCOUNT = 75
+PAIRS = 8
+#: Discount of the words of both classes together.
+SHARED = 0.75
+#: Words, and pairs, that a model holds, at most; the most frequent ones.
+MAX_GRAMS = 300_000
+#: Words of a text that are looked at at once.
+BLOCK = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
@@ -46,184 +55,194 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _orders(listed: list[str], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n from 0 to order - 1: hashes, for each character of each word and its end, of the n + 1
-    characters that end there and of the n characters before it. Words are padded with blanks."""
-    codes, inside, _ = _laid_out(listed, order)
-    gram, context = np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)
-    for n in range(order):
-        back = np.concatenate([np.zeros(n, np.uint64), codes[: len(codes) - n]]) + np.uint64(n * 0x10001 + 1)
-        gram = (gram ^ back) * _MIX
-        gram ^= gram >> np.uint64(31)
-        if n:
-            context = (context ^ back) * _MIX
-            context ^= context >> np.uint64(31)
-        yield gram[inside], context[inside]
-
-
-def _laid_out(listed: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all words, padded; which of them are no padding in front; and the word of each of these."""
-    lengths = np.array([len(w) for w in listed], np.int64) + order
-    text = " " * (order - 1) + (" " * order).join(listed) + " "
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= order - 1
-    return codes, inside, np.repeat(np.arange(len(listed)), lengths - order + 1)
-
-
-def _longest(listed: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of the last order, and the word of each."""
-    for gram, context in _orders(listed, order):  # noqa: B007
-        pass
-    return gram, context, _laid_out(listed, order)[2]
+class Counts:
+    """Continuation counts of one set of texts, by class 0 and 1.
 
+    singles: word to (count in ordinary texts, in toxic texts, in both together); pairs: (before, word) to
+    (ordinary, toxic); followed: before to (ordinary, toxic), the sum over all pairs of that first word.
+    spent: what the discount takes from the word counts of either class; total: these counts' sum; shared:
+    the sum of the counts of both classes together, and the number of words.
+    """
 
-def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in the sorted table, and whether they are there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return place, table[place] == keys
+    def __init__(self, discount: int, singles: dict, pairs: dict, followed: dict, spent: tuple, total: tuple, shared: tuple):
+        self.discount, self.singles, self.pairs, self.followed, self.spent, self.total, self.shared = discount, singles, pairs, followed, spent, total, shared
 
 
 class Model:
-    """counts: for ordinary and for toxic texts, how many distinct words stand before each word."""
-
-    def __init__(self, counts: tuple[dict[str, int], dict[str, int]], order: int = ORDER, discount: float = DISCOUNT):
-        self.order, self.weights, self.share = order, np.zeros(2), 0.5
-        listed = sorted(counts[0].keys() | counts[1].keys())
-        if not listed:
-            self.grams = self.contexts = np.zeros(0, np.uint64)
-            self.gram_ratio = self.context_ratio = np.zeros(1)
-            return
-        gram, context, word = _longest(listed, order)
-        grams, first, gram = np.unique(gram, return_index=True, return_inverse=True)
-        contexts, place = np.unique(context, return_inverse=True)
-        owner = place[first]
-        backoff = _shared(listed, order, first)
-        chance, rest = [], []
-        for own in counts:
-            n = np.bincount(gram, np.array([own.get(w, 0) for w in listed], float)[word], minlength=len(grams))
-            kept = np.maximum(n - discount, 0)
-            total = np.maximum(np.bincount(owner, n, minlength=len(contexts)), 1e-9)
-            spare = np.where(total > 1e-6, 1 - np.bincount(owner, kept, minlength=len(contexts)) / total, 1.0)
-            rest.append(np.maximum(spare, 1e-6))
-            chance.append(kept / total[owner] + rest[-1][owner] * backoff)
-        self.grams, self.gram_ratio = grams, np.append(np.log(chance[1] / chance[0]), 0.0).astype(np.float32)
-        self.contexts, self.context_ratio = contexts, np.append(np.log(rest[1] / rest[0]), 0.0).astype(np.float32)
-
-    def ratios(self, listed: list[str]) -> np.ndarray:
-        """For each word, its log-likelihood per character under the toxic model less that under the ordinary one."""
-        gram, context, word = _longest(listed, self.order)
-        (gram, met), (context, known) = _at(self.grams, gram), _at(self.contexts, context)
-        each = np.where(met, self.gram_ratio[np.where(met, gram, -1)], self.context_ratio[np.where(known, context, -1)])
-        return np.bincount(word, each, minlength=len(listed)) / np.bincount(word, minlength=len(listed))
-
-    def evidence(self, texts: list[list[str]], kept: dict[str, float] | None = None) -> np.ndarray:
-        """For each text the largest of its words' ratios; 0 without words.
-
-        kept holds what is known of words already; it is emptied when it grows beyond KEPT.
-        """
-        kept = {} if kept is None else kept
-        if len(kept) > KEPT:
-            kept.clear()
-        fresh = list({w for ws in texts for w in ws if w not in kept})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            kept.update(zip(some, self.ratios(some).tolist(), strict=True))
-        return np.array([max(map(kept.__getitem__, ws), default=0.0) for ws in texts])
-
-    def scores(self, texts: list[list[str]], kept: dict | None = None) -> np.ndarray:
-        if not self.weights.any():
-            return np.full(len(texts), self.share)
-        return sigmoid(self.weights[0] * self.evidence(texts, kept) + self.weights[1])
-
-
-def _shared(listed: list[str], order: int, picked: np.ndarray, discount: float = 0.75) -> np.ndarray:
-    """P(last character | the characters before it, but the first) in the words of both classes for the
-    n-grams at `picked`, which are all distinct ones, interpolated over the orders below theirs."""
-    chance = np.full(len(picked), 1.0 / 200)
-    before = None
-    for gram, context in _orders(listed, order):
-        gram, context = gram[picked], context[picked]
-        if before is not None:
-            _, once = np.unique(gram, return_index=True)  # a continuation for each distinct longer ending
-            endings, distinct, ending = np.unique(before[0], return_index=True, return_inverse=True)
-            count = np.bincount(ending[once], minlength=len(endings)).astype(float)
-            _, owner = np.unique(before[1], return_inverse=True)
-            total = np.bincount(owner[distinct], count)
-            spare = np.bincount(owner[distinct], np.minimum(count, discount)) / total
-            chance = np.maximum(count - discount, 0)[ending] / total[owner] + spare[owner] * chance
-        before = gram, context
-    return chance
+    """The logarithm of a word's chance in toxic texts over that in ordinary ones, given the word before it."""
+
+    def __init__(self, counts: Counts):
+        discount, listed = counts.discount, sorted(counts.singles)
+        self.ids = {w: i + 1 for i, w in enumerate(listed)}
+        n = np.array([counts.singles[w] for w in listed], float).reshape(-1, 3)
+        every, distinct = counts.shared
+        base = np.concatenate([[0.0], np.maximum(n[:, 2] - SHARED, 0) / max(every, 1)]) + SHARED * distinct / max(every, 1) / (distinct + 1) + 1e-12
+        self.one = np.zeros((2, len(listed) + 1))
+        for c in (0, 1):
+            total = max(counts.total[c], 1)
+            spare = counts.spent[c] / total if counts.total[c] else 1.0
+            self.one[c] = max(spare, 1e-9) * base
+            self.one[c, 1:] += np.maximum(n[:, c] - discount, 0) / total
+        kept = {p: k for p, k in counts.pairs.items() if max(k) > PAIRS * discount and p[1] in self.ids and p[0] in counts.followed}
+        firsts = sorted({a for a, _ in kept})
+        #: of each word as the one before: its place among the histories that have a pair, 0 for the others
+        self.history = {a: i + 1 for i, a in enumerate(firsts)}
+        self.spare = np.ones((2, len(firsts) + 1))
+        order = sorted((self.history[a] * (len(listed) + 1) + self.ids[w], a, k) for (a, w), k in kept.items())
+        self.keys = np.array([key for key, _, _ in order], np.int64)
+        self.two = np.zeros((2, len(order) + 1))
+        for at, (key, a, k) in enumerate(order):
+            for c in (0, 1):
+                if counts.followed[a][c] and k[c] > PAIRS * discount:
+                    self.two[c, at] = (k[c] - PAIRS * discount) / counts.followed[a][c]
+                    self.spare[c, key // (len(listed) + 1)] -= self.two[c, at]
+        self.spare = np.maximum(self.spare, 1e-6)
+
+    def chances(self, listed: list[str], before: str = "") -> np.ndarray:
+        """(2, words): chance of each word under the ordinary and the toxic model."""
+        at = np.array([self.ids.get(w, 0) for w in listed], np.int64)
+        one = self.one[:, at]
+        if not len(self.keys):
+            return one
+        history = np.array([self.history.get(w, 0) for w in [before, *listed[:-1]]], np.int64)
+        key = history * self.one.shape[1] + at
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        place = np.where((self.keys[place] == key) & (history > 0), place, len(self.keys))
+        return self.two[:, place] + self.spare[:, history] * one
+
+    def evidence(self, found: list[str]) -> tuple[float, float]:
+        """The mean ratio of the text, and the largest mean of an expression in it."""
+        total, best, tail, before = 0.0, -np.inf, np.zeros(0), ""
+        for start in range(0, len(found), BLOCK):
+            some = found[start : start + BLOCK]
+            chance = np.log(self.chances(some, before))
+            ratio, before = chance[1] - chance[0], some[-1]
+            total += float(ratio.sum())
+            joined = np.concatenate([tail, ratio])
+            sums = np.concatenate([[0.0], np.cumsum(joined)])
+            for n in range(1, min(SPAN, len(joined)) + 1):
+                best = max(best, float((sums[n:] - sums[:-n]).max()) / n)
+            tail = joined[len(joined) - SPAN + 1 :] if len(joined) >= SPAN else joined
+        return (total / len(found), best) if found else (0.0, 0.0)
+
+
+class Classifier:
+    def __init__(self, model: Model | None, weights: np.ndarray, share: float):
+        self.model, self.weights, self.share = model, weights, share
+
+    def score(self, text: str | None) -> float:
+        if self.model is None:
+            return self.share
+        return float(sigmoid(np.dot(self.weights, (*self.model.evidence(words(text)), 1.0))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Slope and offset by Newton steps with a small ridge."""
-    a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
-    for _ in range(50):
+    """Weights of the columns and an offset by Newton steps with a small ridge."""
+    a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    for _ in range(100):
         p = sigmoid(a @ w)
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (weight * (y - p)) - 1e-3 * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(len(w))
+        step = np.linalg.solve(hessian, a.T @ (weight * (y - p)) - 1e-3 * w)
+        w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct (word before, word) of each text, with its half and label."""
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct (two words before, word before, word) of each text, with its part and label."""
+    names = ("own", "toxic", "second", "first", "word")
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
     for batch in batches:
-        out = {"half": [], "toxic": [], "before": [], "word": []}
-        for half, label, text in zip(batch.column("half").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+        for own, label, text in zip(batch.column("own").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
             found = words(text.as_py())
-            for before, word in set(zip(["", *found], found)):  # noqa: B905
-                for column, value in zip(out.values(), (half, label, before, word), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out["half"], pa.int32()), pa.array(out["toxic"], pa.int32()), pa.array(out["before"], pa.string()), pa.array(out["word"], pa.string())], names=list(out))
+            for at in range(0, len(found), BLOCK):
+                ahead = ["", "", *found[:at]][-2:]
+                some = [*ahead, *found[at : at + BLOCK]]
+                met = list(set(zip(some, some[1:], some[2:], strict=False)))
+                columns = ([own] * len(met), [label] * len(met), *(zip(*met, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Model:
-    """Learns from a bounded sample of the labelled rows outside the held-out fold.
+def count(rows: DataFrame, discount: int) -> list[Counts]:
+    """Continuation counts of the texts without part 0, without part 1 and so on, and of all texts, from rows
+    of own (the part of a text), toxic, text.
 
-    The sample is halved by hash; models of either half score the other, which calibrates the score.
+    The driver sees at most MAX_GRAMS words and pairs of each, those that the discount leaves something of.
+    """
+    met = rows.mapInArrow(_triples, "own int, toxic int, second string, first string, word string").distinct()
+    every = F.array(*(F.lit(i) for i in range(PARTS + 1)))
+    met = met.withColumn("part", F.explode(F.filter(every, lambda i: i != F.col("own")))).select("part", "toxic", "second", "first", "word").distinct()
+    by_class = lambda c: F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).cast("long")
+    pairs = stored(met.groupBy("part", "first", "word", "toxic").agg(F.count("*").alias("n")), "pairs")
+    own = pairs.groupBy("part", "word", "toxic").agg(F.count("*").alias("n"))
+    both = pairs.select("part", "first", "word").distinct().groupBy("part", "word").agg(F.count("*").alias("shared"))
+    singles = own.groupBy("part", "word").agg(by_class(0).alias("n0"), by_class(1).alias("n1")).join(both, ["part", "word"])
+    singles = stored(singles, "words")
+    spent = [F.sum(F.least(f"n{c}", F.lit(discount))).alias(f"spent{c}") for c in (0, 1)]
+    sums = singles.groupBy("part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("shared").alias("shared"), F.count("*").alias("distinct"), *spent)
+    totals = {r["part"]: r for r in sums.collect()}
+    wide = pairs.groupBy("part", "first", "word").agg(by_class(0).alias("n0"), by_class(1).alias("n1"))
+    kept = stored(wide.where(F.greatest("n0", "n1") > PAIRS * discount), "kept")
+    followed = wide.join(kept.select("part", "first").distinct(), ["part", "first"], "left_semi").groupBy("part", "first").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    followed = stored(followed, "followed")
+    paired = kept.select("part", "word", F.lit(True).alias("paired")).distinct()
+    telling = singles.join(paired, ["part", "word"], "left").where((F.greatest("n0", "n1") > discount) | F.col("paired"))
+    out = []
+    for part in range(PARTS + 1):
+        most = lambda df, *key: df.where(F.col("part") == part).orderBy(F.desc(F.greatest("n0", "n1")), *key).limit(MAX_GRAMS).collect()  # noqa: B023, E731
+        one = {r["word"]: (r["n0"], r["n1"], r["shared"]) for r in most(telling, "word")}
+        two = {(r["first"], r["word"]): (r["n0"], r["n1"]) for r in most(kept, "first", "word")}
+        after = {r["first"]: (r["n0"], r["n1"]) for r in most(followed, "first")}
+        t = totals.get(part)
+        pair = lambda a, b: (t[a], t[b]) if t else (0, 0)  # noqa: B023, E731
+        out.append(Counts(discount, one, two, after, pair("spent0", "spent1"), pair("n0", "n1"), pair("shared", "distinct")))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Classifier:
+    """Learns from a sample of at most bound labelled texts outside the held-out fold.
+
+    The sample is dealt into PARTS by hash; models of all but one score that one, which calibrates the score.
     """
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(remainder(F.col("doc_id"), FOLDS) != 0)
-    chosen = bounded_sample(known, "toxic", bound, F.col("doc_id")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(rows.join(F.broadcast(chosen), "doc_id").select("half", "toxic", "text"), "labelled")
-    pairs = rows.mapInArrow(_pairs, "half int, toxic int, before string, word string").distinct()
-    counts: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
-    for r in pairs.groupBy("half", "toxic", "word").agg(F.count("*").cast("int").alias("n")).toLocalIterator():
-        counts[r["half"]][r["toxic"]][r["word"]] = r["n"]
-    halves = spark.sparkContext.broadcast([Model(c) for c in counts])
+    share = known.agg(F.avg("toxic")).first()[0]
+    share = 0.5 if share is None else float(share)
+    own = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")
+    rows = stored(labelled_sample(docs, known, "toxic", bound).select(own.alias("own"), "toxic", "text"), "labelled")
+    texts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(texts) < 2:
+        return Classifier(None, np.zeros(3), share)
+    counts = count(rows, max(1, round(min(texts.values()) / TEXTS_A_DISCOUNT)))
+    others = spark.sparkContext.broadcast(counts[:PARTS])
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model = None, None
         for batch in batches:
-            found = [float(halves.value[1 - half].evidence([words(t.as_py())])[0]) for half, t in zip(batch.column("half").to_pylist(), batch.column("text"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], names=["toxic", "x"])
-
-    scored = rows.select("half", "toxic", "text").mapInArrow(crossed, "toxic int, x double").orderBy("toxic", "x").collect()
-    together = tuple({w: counts[0][c].get(w, 0) + counts[1][c].get(w, 0) for w in counts[0][c].keys() | counts[1][c].keys()} for c in (0, 1))
-    model = Model(together)
-    y, x = np.array([r["toxic"] for r in scored], float), np.array([r["x"] for r in scored], float)
-    share = known.agg(F.avg("toxic")).first()[0]
-    model.share = 0.5 if share is None else float(share)
-    if 0 < y.sum() < len(y):
-        model.weights = _logistic(x, y, np.where(y == 1, model.share / y.mean(), (1 - model.share) / (1 - y.mean())))
-    return model
-
-
-def classify(docs: DataFrame, model: Model) -> DataFrame:
+            found = []
+            for part, text in zip(batch.column("own").to_pylist(), batch.column("text"), strict=True):
+                if part != at:
+                    at, model = part, Model(others.value[part])
+                found.append(model.evidence(words(text.as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    apart = rows.repartition(PARTS, "own").sortWithinPartitions("own")
+    scored = sorted((r["toxic"], r["x"]) for r in apart.mapInArrow(crossed, "toxic int, x array<double>").collect())
+    others.destroy()
+    y, x = np.array([label for label, _ in scored], float), np.array([found for _, found in scored])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    return Classifier(Model(counts[PARTS]), _logistic(x, y, weight), share)
+
+
+def classify(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, float] = {}
         for batch in batches:
-            scores = []
-            for at in range(0, len(batch), 256):
-                scores += shared.value.scores([words(t.as_py()) for t in batch.column("text")[at : at + 256]], kept).tolist()
+            scores = [shared.value.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
