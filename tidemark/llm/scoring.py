@@ -37,8 +37,8 @@ MARK = "▁"
 HEAD = 100_000
 #: Distinct words that a task counts before it hands its counts on.
 FLUSH = 150_000
-#: Words longer than this, or less likely than that, are cut in two for the expectation step.
-SAFE, FAINT = 64, 1e-200
+#: Sums of products below this are taken by logarithms.
+FAINT = 1e-250
 #: Weight, in pieces, of the vocabulary's own scores beside the corpus' expected counts.
 PRIOR = 2000.0
 
@@ -113,48 +113,71 @@ class Lattice:
                     ahead[j] = old + log1p(exp(new - old))
         return ahead[n]
 
+    def _steps(self, word: str, i: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(end, pieces) of the steps from i: a piece of the vocabulary, or one character in byte pieces."""
+        for j in range(i + 1, min(len(word), i + self.longest) + 1):
+            piece = self.ids.get(word[i:j])
+            if piece is not None:
+                yield j, (piece,)
+            elif j == i + 1:
+                yield j, self.spelled(word[i])
+
     def expect(self, word: str, weight: float, counts: list[float]) -> None:
         """Add to counts how often each piece is expected in so many occurrences of the word.
 
-        Plain sums of products; a word for which they might underflow is cut in two.
+        Sums of products where they stay in the range of doubles, else the same sums of logarithms.
         """
         whole, word = word, MARK + word
-        if len(word) > SAFE:
-            return self._halves(whole, weight, counts)
         ids, chances, longest, n = self.ids, self.chances, self.longest, len(word)
         ahead = [0.0] * (n + 1)
         ahead[0] = 1.0
         edges = []
         for i in range(n):
             here = ahead[i]
+            if here < FAINT:
+                return self._expect_in_logs(whole, weight, counts)
             for j in range(i + 1, min(n, i + longest) + 1):
                 piece = ids.get(word[i:j])
                 if piece is not None:
-                    chance = chances[piece]
-                    edges.append((i, j, piece, chance))
+                    pieces, chance = (piece,), chances[piece]
                 elif j == i + 1:
                     pieces = self.spelled(word[i])
                     chance = math.prod([chances[b] for b in pieces])
-                    edges.append((i, j, pieces, chance))
                 else:
                     continue
+                edges.append((i, j, pieces, chance))
                 ahead[j] += here * chance
-        if ahead[n] < FAINT and len(whole) > 1:
-            return self._halves(whole, weight, counts)
+        if ahead[n] < FAINT:
+            return self._expect_in_logs(whole, weight, counts)
         behind = [0.0] * (n + 1)
         behind[n] = weight / ahead[n]
-        for i, j, piece, chance in reversed(edges):
+        for i, j, pieces, chance in reversed(edges):
             on = chance * behind[j]
             behind[i] += on
-            if type(piece) is int:
-                counts[piece] += ahead[i] * on
-            else:
-                for b in piece:
-                    counts[b] += ahead[i] * on
+            for b in pieces:
+                counts[b] += ahead[i] * on
+
+    def _expect_in_logs(self, word: str, weight: float, counts: list[float]) -> None:
+        word = MARK + word
+        logs, n = self.logs, len(word)
+        ahead, behind = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+        ahead[0] = behind[n] = 0.0
+        for i in range(n):
+            for j, pieces in self._steps(word, i):
+                ahead[j] = _log_sum(ahead[j], ahead[i] + sum([logs[b] for b in pieces]))
+        for i in range(n - 1, -1, -1):
+            for j, pieces in self._steps(word, i):
+                chance = sum([logs[b] for b in pieces])
+                behind[i] = _log_sum(behind[i], chance + behind[j])
+                often = weight * math.exp(ahead[i] + chance + behind[j] - ahead[n])
+                for b in pieces:
+                    counts[b] += often
 
-    def _halves(self, word: str, weight: float, counts: list[float]) -> None:
-        for part in (word[: len(word) // 2], word[len(word) // 2 :]):
-            self.expect(part, weight, counts)
+
+def _log_sum(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +225,26 @@ def estimate(counts: DataFrame, path: str, prior: float = PRIOR) -> np.ndarray:
     return sums / sums.sum()
 
 
-def _head(counts: DataFrame, bound: int) -> tuple[dict[bytes, int], int]:
-    """The counts of all words counted at least so often that they are no more than bound, and that limit."""
-    top = 1 << 16
-    limit, held = top + 1, 0
-    for row in counts.groupBy(F.least("n", F.lit(top)).alias("at")).count().orderBy(F.desc("at")).collect():
-        held += row["count"]
-        if held > bound:
+def _head(counts: DataFrame, bound: int) -> tuple[dict[str, int], DataFrame]:
+    """The counts of at most bound words, the most frequent ones, and the counts of the others.
+
+    The driver sees a histogram of the counts by powers of two and, within the power that the bound falls
+    in, by hash; words are collected by both, so ties do not go beyond the bound.
+    """
+    level = F.floor(F.log2("n")).cast("int")
+    within = F.pmod(F.xxhash64("token"), F.lit(1 << 10)).cast("int")
+    # ordered by (level descending, slot ascending): a word's place in that order
+    sizes = {(r["level"], r["slot"]): r["n_words"] for r in counts.groupBy(level.alias("level"), within.alias("slot")).agg(F.count("*").alias("n_words")).collect()}
+    held, last = 0, None
+    for at in sorted(sizes, key=lambda x: (-x[0], x[1])):
+        if held + sizes[at] > bound:
             break
-        limit = row["at"]
-    return {r["token"].encode("utf-8", "surrogatepass"): r["n"] for r in counts.where(F.col("n") >= limit).collect()}, limit
+        held += sizes[at]
+        last = at
+    if last is None:
+        return {}, counts
+    chosen = (level > last[0]) | ((level == last[0]) & (within <= last[1]))
+    return {r["token"]: r["n"] for r in counts.where(chosen).collect()}, counts.where(~chosen)
 
 
 def score(docs: DataFrame, train: Column, vocabulary: str | None = None, head: int = HEAD) -> DataFrame:
@@ -224,9 +257,9 @@ def score(docs: DataFrame, train: Column, vocabulary: str | None = None, head: i
     counts = stored(token_counts(rows.where(~F.col("held_out"))), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     weights = estimate(counts, path)
-    frequent, limit = _head(counts, head)
+    frequent, others = _head(counts, head)
     lattice = Lattice(path, weights)
-    known = spark.sparkContext.broadcast({t: (math.log10(n + 1), lattice.forward(t.decode("utf-8", "surrogatepass")) if t else 0.0) for t, n in frequent.items()})
+    known = spark.sparkContext.broadcast({t.encode("utf-8", "surrogatepass"): (math.log10(n + 1), lattice.forward(t) if t else 0.0) for t, n in frequent.items()})
     shared = spark.sparkContext.broadcast(weights)
     ended = next((r["n"] for r in counts.where(F.col("token") == END).collect()), 0)
     end = lattice.logs[lattice.end]
@@ -268,7 +301,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str | None = None, head: i
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "k", "n")), chances.take(coded.indices)], names=["row", "k", "n", "chance"])
 
     rare = scored.select("row", F.explode("rest").alias("rest")).select("row", "rest.token", "rest.k")
-    matched = rare.join(counts.where(F.col("n") < limit), "token", "left").select("row", "token", "k", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    matched = rare.join(others, "token", "left").select("row", "token", "k", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     k, n = F.col("k"), F.col("n")
     summed = matched.mapInArrow(second_pass, "row long, k long, n long, chance double").groupBy("row").agg(
         F.sum(k * F.log10(n + 1)).alias("rest_base"), F.sum(k * F.col("chance")).alias("rest_model"), F.sum(F.when(n > 0, k).otherwise(0)).alias("rest_known")
