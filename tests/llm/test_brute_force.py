@@ -46,6 +46,11 @@ def test_neighbours_recall(spark):
         assert hits / total >= 0.9
 
 
+def test_recall_is_measured_against_the_exact_way(spark):
+    df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    assert neighbours.recall(df, neighbours.F.col("vec_id") % 100 == 0) >= 0.9
+
+
 def test_repeated_vectors_do_not_hide_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1000)] + [(1000 + i, rng.normal(size=4).tolist()) for i in range(500)]

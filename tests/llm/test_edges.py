@@ -72,6 +72,25 @@ def test_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found] == [(100, 1, 1), (100, 2, 2)]
     assert found[0]["score"] == 0.0
     assert neighbours.op1_neighbours(df.limit(0)).collect() == []
+    assert neighbours.exact(df, df["vec_id"] % 100 == 0).orderBy("rank").collect() == found
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(1, [0.0, 1.0]), (1, [5.0, 5.0]), (100, [5.0, 5.0]), (2, [0.0, 1.5]), (3, [5.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for found in (neighbours.op1_neighbours(df), neighbours.exact(df, df["vec_id"] % 100 == 0)):
+        got = [(r["vec_id"], round(r["score"], 2)) for r in found.orderBy("rank").collect()]
+        assert got == [(1, 0.0), (3, 1.0), (2, 6.1)]
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [float(j == i % 40) for j in range(40)]) for i in range(400)]
+    df = spark.createDataFrame([(7 * i % 400, v) for i, (_, v) in enumerate(rows)], "vec_id long, embedding array<float>")
+    own = {7 * i % 400: i % 40 for i in range(400)}
+    for found in (neighbours.op1_neighbours(df), neighbours.exact(df, df["vec_id"] % 100 == 0)):
+        for q in (0, 100, 200, 300):
+            want = sorted((0 if own[v] == own[q] else 1, v) for v in own if v != q)[:10]
+            assert [r["vec_id"] for r in found.where(f"query_id = {q}").orderBy("rank").collect()] == [v for _, v in want]
 
 
 @pytest.mark.parametrize("empty", [False, True])

@@ -2,11 +2,13 @@
 
 Vectors are projected, shifted, quantised and put in order along several Hilbert curves. Along each
 curve the rows are range-partitioned and numbered, and cut into blocks; a query is compared with the
-rows of its own block and of the blocks within SHARE of the table on either side, by the exact distance
-in double precision. The best of each curve are merged, and the exact distances rank them.
+rows of its own block and of the blocks within SHARE of the table on either side. The curves carry a code of
+each vector, a byte for each component; the SPARE nearest by code of each block are merged, and the distances
+of the original vectors in double precision rank them.
 
-Equal vectors are one point of the curves, with the K + 1 smallest ids at it (a query needs no more of
-them), so a vector that is repeated millions of times neither fills a block nor hides its neighbours.
+Equal vectors are one point of the curves, with a number of its own and the K + 1 smallest ids at it (a query
+needs no more of them), so a vector that is repeated millions of times neither fills a block nor hides its
+neighbours. `exact` compares the queries with all rows instead, in blocks; `recall` holds a search against it.
 
 The searched share of a curve, not its number of rows, stays constant, so recall holds as the table
 grows and the work for a query grows with the table. A block has BLOCK to MOST rows, so no task's does:
@@ -32,11 +34,15 @@ from tidemark.llm.common import stored
 
 K = 10
 CURVES = 16
+#: Candidates that a block, and all blocks together, hand on for each query, in multiples of k + 1.
+SPARE = 4
 #: Dimensions of a projection, and bits of each, that a curve runs through.
 DIMENSIONS, BITS = 8, 4
 #: Share of the rows that is searched on either side of a query's block; rows of a block, at least and at most.
 SHARE = 0.02
 BLOCK, MOST = 1024, 8192
+#: Queries that the exact comparison sends to all tasks at once.
+ASKED = 2048
 #: Vectors that are looked at to fit the scale of the projections, at most.
 SCALE_ROWS = 4096
 
@@ -89,15 +95,34 @@ def valid(embedding: Column) -> Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def points(vectors: DataFrame, k: int = K) -> DataFrame:
-    """point (its least id), embedding, ids (the k + 1 least, ascending) of each distinct vector."""
+def _rows(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding of the vectors that take part; -0.0 equals 0.0: x + 0.0 gives both the same bits."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    # -0.0 equals 0.0: x + 0.0 gives both the same bits
-    rows = rows.where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    return rows.where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+
+
+def points(vectors: DataFrame, k: int = K) -> DataFrame:
+    """point (a number of its own), first (its least id), embedding, ids (the k + 1 least, ascending) of each distinct vector.
+
+    The numbers hold only within a written table.
+    """
     # dense_rank keeps each repeated row of a kept id; a rank limit lets Spark cut every partition before the shuffle
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    first = rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1)
-    return first.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("point"), "embedding", "ids")
+    least = _rows(vectors).withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1)
+    found = least.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    return found.select(F.monotonically_increasing_id().alias("point"), F.col("ids")[0].alias("first"), "embedding", "ids")
+
+
+def coded(x: np.ndarray) -> list[bytes]:
+    """Of each row its scale, as a double, and its components in units of it, a byte each."""
+    scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
+    whole = np.rint(x / scale[:, None]).astype(np.int8)
+    return [s.tobytes() + w.tobytes() for s, w in zip(scale, whole, strict=True)]
+
+
+def decoded(codes: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return raw[:, :8].copy().view(np.float64) * raw[:, 8:].view(np.int8)
 
 
 def _numbered(keyed: DataFrame, block: int) -> DataFrame:
@@ -122,28 +147,43 @@ def _numbered(keyed: DataFrame, block: int) -> DataFrame:
     return placed.withColumn("block", F.floor(F.col("at") / block).cast("long"))
 
 
+def _nearest(square: np.ndarray, first: np.ndarray, keep: int) -> np.ndarray:
+    """(queries, keep): columns of the least squares of each row, of equal ones those of the least ids."""
+    keep = min(keep, square.shape[1])
+    limit = np.partition(square, keep - 1, axis=1)[:, keep - 1]
+    out = np.empty((len(square), keep), np.int64)
+    for i, (own, at_most) in enumerate(zip(square, limit, strict=True)):
+        some = np.flatnonzero(own <= at_most)
+        out[i] = some[np.lexsort((first[some], own[some]))[:keep]]
+    return out
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(rows of y, rows of x): squared distances, in single precision, so that rounding does not part ties."""
+    return np.maximum((x * x).sum(1)[None] - 2 * y @ x.T + (y * y).sum(1)[:, None], 0).astype(np.float32)
+
+
 def _best(k: int):
-    """Of each curve and block: the k + 1 nearest rows for every query that is compared with the block."""
+    """Of each curve and block: the nearest rows by code for every query that is compared with the block."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own, asked = group[~group.asks], group[group.asks]
-        out = {"query": [], "point": [], "square": []}
-        if len(own) and len(asked):
-            for length in set(map(len, asked.embedding)):
-                rows, queries = (g[[len(v) == length for v in g.embedding]] for g in (own, asked))
-                if not len(rows):
-                    continue
-                x, ids = np.stack(rows.embedding.to_numpy()), rows.point.to_numpy()
-                for at in range(0, len(queries), 256):
-                    q = queries[at : at + 256]
-                    y = np.stack(q.embedding.to_numpy())
-                    square = np.maximum((x * x).sum(1)[None] - 2 * y @ x.T + (y * y).sum(1)[:, None], 0)
-                    keep = min(k + 1, len(x))
-                    near = np.argpartition(square, keep - 1, axis=1)[:, :keep]
-                    out["query"].append(np.repeat(q.point.to_numpy(), keep))
-                    out["point"].append(ids[near].ravel())
-                    out["square"].append(np.take_along_axis(square, near, 1).ravel())
-        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}).astype({"query": "int64", "point": "int64"})
+        out = {"query": [], "point": [], "first": [], "square": []}
+        for length in set(map(len, asked.code)) if len(own) else ():
+            rows, queries = (g[[len(v) == length for v in g.code]] for g in (own, asked))
+            if not len(rows):
+                continue
+            x, ids, first = decoded(rows.code.tolist()), rows.point.to_numpy(), rows["first"].to_numpy()
+            for at in range(0, len(queries), 256):
+                q = queries[at : at + 256]
+                square = _squares(x, decoded(q.code.tolist()))
+                near = _nearest(square, first, SPARE * (k + 1))
+                out["query"].append(np.repeat(q.point.to_numpy(), near.shape[1]))
+                out["point"].append(ids[near].ravel())
+                out["first"].append(first[near].ravel())
+                out["square"].append(np.take_along_axis(square, near, 1).ravel())
+        whole = {"query": "int64", "point": "int64", "first": "int64", "square": "float32"}
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}).astype(whole)
 
     return run
 
@@ -177,18 +217,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVE
                 if length not in fitted:
                     fitted[length] = Curves(seen.get(length, np.zeros((0, length))), length, curves)
                 x = np.stack(rows.embedding.to_numpy())
+                rows = rows.assign(code=coded(x))
                 for c in range(curves):
-                    yield rows.assign(curve=np.int32(c), key=fitted[length].keys(x, c))[["curve", "key", "point", "embedding"]]
+                    yield rows.assign(curve=np.int32(c), key=fitted[length].keys(x, c))[["curve", "key", "point", "first", "code"]]
 
-    placed = _numbered(known.select("point", "embedding").mapInPandas(put, "curve int, key long, point long, embedding array<double>"), block)
-    members = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    members = members.where(F.col("vec_id").isNotNull() & is_query & valid(F.col("embedding"))).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).distinct()
-    queries = stored(members.join(known.select("point", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "point"), "queries")
+    schema = "curve int, key long, point long, first long, code binary"
+    placed = _numbered(known.select("point", "first", "embedding").mapInPandas(put, schema), block)
+    queries = stored(_asked(vectors, is_query).join(known.select("point", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "point"), "queries")
     asked = placed.join(queries.select("point").distinct(), "point", "left_semi").withColumn("block", F.explode(F.sequence(F.col("block") - beside, F.col("block") + beside)))
-    both = placed.select("curve", "block", "point", "embedding", F.lit(False).alias("asks")).unionByName(asked.select("curve", "block", "point", "embedding", F.lit(True).alias("asks")))
-    found = both.groupBy("curve", "block").applyInPandas(_best(k), "query long, point long, square double")
-    top = Window.partitionBy("query").orderBy("square", "point")
-    pairs = found.groupBy("query", "point").agg(F.min("square").alias("square")).withColumn("place", F.row_number().over(top)).where(F.col("place") <= 2 * k + 2)
+    columns = ("curve", "block", "point", "first", "code")
+    both = placed.select(*columns, F.lit(False).alias("asks")).unionByName(asked.select(*columns, F.lit(True).alias("asks")))
+    found = both.groupBy("curve", "block").applyInPandas(_best(k), "query long, point long, first long, square float")
+    top = Window.partitionBy("query").orderBy("square", "first", "point")
+    pairs = found.groupBy("query", "point").agg(F.min("square").alias("square"), F.min("first").alias("first")).withColumn("place", F.row_number().over(top))
+    return _ranked(pairs.where(F.col("place") <= SPARE * (k + 1)), queries, known, k)
+
+
+def _asked(vectors: DataFrame, is_query: Column) -> DataFrame:
+    return _rows(vectors.where(is_query)).distinct()
+
+
+def _ranked(pairs: DataFrame, queries: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The k nearest of the candidate pairs (query, point), by the distances of the original vectors."""
     left = known.select(F.col("point").alias("query"), F.col("embedding").alias("a"))
     right = known.select("point", F.col("embedding").alias("b"), "ids")
     exact = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -199,5 +249,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVE
     return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def exact(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
+    """As search, by comparing every query with all vectors: ASKED queries at a time are sent to all tasks, and
+    each task hands on its nearest. Work grows with queries times rows."""
+    known = stored(points(vectors, k), "points")
+    queries = stored(_asked(vectors, is_query).join(known.select("point", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "point"), "queries")
+    wanted = known.join(queries.select("point").distinct(), "point", "left_semi").select("point", "embedding")
+    total = wanted.count()
+    found, passes = None, max(1, math.ceil(total / ASKED))
+    for part in range(passes):
+        block = wanted.where(F.pmod(F.xxhash64("point"), F.lit(passes)) == part).collect()
+        by_length: dict[int, list] = {}
+        for r in block:
+            by_length.setdefault(len(r["embedding"]), []).append((r["point"], r["embedding"]))
+
+        def run(batches: Iterator[pd.DataFrame], by_length=by_length) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for length, rows in batch.groupby(batch.embedding.map(len)):
+                    if length in by_length:
+                        ids, first = rows.point.to_numpy(), rows["first"].to_numpy()
+                        square = _squares(np.stack(rows.embedding.to_numpy()), np.array([e for _, e in by_length[length]]))
+                        near = _nearest(square, first, SPARE * (k + 1))
+                        asked = np.repeat([p for p, _ in by_length[length]], near.shape[1])
+                        yield pd.DataFrame({"query": asked, "point": ids[near].ravel(), "first": first[near].ravel(), "square": np.take_along_axis(square, near, 1).ravel()})
+
+        own = known.select("point", "first", "embedding").mapInPandas(run, "query long, point long, first long, square float")
+        found = own if found is None else found.unionByName(own)
+    top = Window.partitionBy("query").orderBy("square", "first", "point")
+    return _ranked(found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= SPARE * (k + 1)), queries, known, k)
+
+
+def recall(vectors: DataFrame, is_query: Column, k: int = K, **settings) -> float:
+    """Share of the true k nearest of the queries that search finds; choose few queries."""
+    same = ["query_id", "vec_id"]
+    true = stored(exact(vectors, is_query, k).select(*same), "true")
+    found = search(vectors, is_query, k, **settings).select(*same)
+    return true.join(found, same, "left_semi").count() / max(true.count(), 1)
+
+
 def op1_neighbours(vectors: DataFrame) -> DataFrame:
     return search(vectors, F.col("vec_id") % 100 == 0)
