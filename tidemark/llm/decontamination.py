@@ -27,6 +27,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark fingerprints up to this many are broadcast (about 200 bytes each); more are shuffled.
 BROADCAST_ROWS = 200_000
+#: Item ids at all of these fingerprints up to this many are broadcast with them (8 bytes each).
+BROADCAST_IDS = 2_000_000
 #: Keys of contaminated documents up to this many are broadcast to the filter; more are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -93,14 +95,18 @@ def benchmark_prints(benchmark: DataFrame) -> DataFrame:
     return rows.select("value", F.slice("hw", F.col("q") - lead, lead + SPAN).alias("ctx"), lead.alias("lead"), "ids").distinct()
 
 
-def short_items(benchmark: DataFrame) -> dict[int, DataFrame]:
-    """By length below SPAN that items have: value, ctx, lead, ids as in benchmark_prints."""
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """length, value, ctx, lead, ids as in benchmark_prints, of the items of 1 to SPAN - 1 words."""
     items = _hashed(benchmark.select("item_id", "text")).where(F.size("hw").between(1, SPAN - 1)).groupBy("hw").agg(F.collect_set("item_id").alias("ids"))
-    lengths = sorted(r[0] for r in items.select(F.size("hw")).distinct().collect())
-    return {
-        n: items.where(F.size("hw") == n).select(_grams(F.col("hw"), n)[0].alias("value"), F.col("hw").alias("ctx"), F.lit(0).alias("lead"), "ids")
-        for n in lengths
-    }
+    return items.select(F.size("hw").alias("length"), _short_value(F.col("hw")).alias("value"), F.col("hw").alias("ctx"), F.lit(0).alias("lead"), "ids")
+
+
+def _short_value(hw: Column) -> Column:
+    """The gram hash of all of fewer than SPAN word hashes."""
+    value = F.lit(None).cast("long")
+    for n in range(1, SPAN):
+        value = F.when(F.size(hw) == n, _grams(hw, n)[0]).otherwise(value)
+    return value
 
 
 def _key(text: Column) -> Column:
@@ -108,7 +114,8 @@ def _key(text: Column) -> Column:
 
 
 def _met(rows: DataFrame, prints: str, grams: str, span: int, wanted: DataFrame) -> DataFrame:
-    """doc_id, key, start, stop, ids: windows of span words of the documents that occur in an item."""
+    """doc_id, key, start, stop, ids: windows of span words of the documents that occur in an item. rows holds the
+    fingerprints of a document in prints."""
     met = rows.select("doc_id", "key", "hw", grams, F.explode_outer(prints).alias("value")).join(wanted, "value")
     placed = met.select("doc_id", "key", "hw", "ctx", "lead", "ids", F.explode_outer(_positions(grams, "value")).alias("p"))
     placed = placed.select("*", F.explode_outer(F.sequence(-F.col("lead"), F.lit(0))).alias("o"))
@@ -136,22 +143,39 @@ def hits(docs: DataFrame, benchmark: DataFrame, marked: DataFrame | None = None,
     """
     marked = fingerprinted(docs) if marked is None else marked
     wanted = stored(benchmark_prints(benchmark), "prints")
-    small = wanted.count() <= broadcast_rows
-    sized = lambda df: F.broadcast(df) if small else df
+    sized = sized_by_rows(wanted, broadcast_rows)
     shared = marked.select("key", F.explode_outer("prints").alias("value")).join(sized(wanted.select("value").distinct()), "value", "left_semi")
     shared = stored(shared.select("key").distinct(), "shared")
     few = shared.count() <= BROADCAST_KEYS
     rows = _hashed(_texts(docs).join(F.broadcast(shared) if few else shared, "key", "left_semi")).select("doc_id", "key", "hw")
     found = _met(_fingerprints(rows), "prints", "grams", SPAN, sized(wanted))
-    for n, items in short_items(benchmark).items():
-        brief = items.count() <= broadcast_rows
-        every = _hashed(_texts(docs)).select("doc_id", "key", "hw").withColumn("grams", _grams(F.col("hw"), n)).withColumn("each", F.array_distinct("grams"))
-        found = found.unionByName(_met(every, "each", "grams", n, F.broadcast(items) if brief else items))
+    short = stored(short_items(benchmark), "short")
+    lengths = sorted(r["length"] for r in short.select("length").distinct().collect())
+    if lengths:
+        found = found.unionByName(_short_hits(docs, short, lengths, sized_by_rows(short, broadcast_rows)))
     return found.groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items")
     )
 
 
+def _short_hits(docs: DataFrame, short: DataFrame, lengths: list[int], sized) -> DataFrame:
+    """As _met, for the items of fewer than SPAN words: one further pass over the documents for all lengths."""
+    at = lambda n: F.transform(_grams(F.col("hw"), n), lambda g, i: F.struct(g.alias("value"), (i + 1).alias("start"), F.slice("hw", i + 1, F.lit(n)).alias("words")))
+    runs = at(lengths[0])
+    for n in lengths[1:]:
+        runs = F.when(F.col("length") == n, at(n)).otherwise(runs)
+    each = _hashed(_texts(docs)).select("doc_id", "key", "hw", F.explode(F.array(*map(F.lit, lengths))).alias("length"))
+    each = each.select("doc_id", "key", "length", F.explode(runs).alias("run")).select("doc_id", "key", "length", "run.*")
+    met = each.join(sized(short.select("length", "value", "ctx", "ids")), ["length", "value"]).where("words = ctx")
+    return met.select("doc_id", "key", "start", (F.col("start") + F.col("length") - 1).alias("stop"), "ids")
+
+
+def sized_by_rows(df: DataFrame, most: int):
+    """Broadcasts a small side: df and what is selected from it, if it has few rows and few ids in all."""
+    size = df.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    return F.broadcast if size[0] <= most and size[1] <= BROADCAST_IDS else lambda side: side
+
+
 def _covered(spans: Column) -> Column:
     """Words in the union of sorted (start, stop) spans."""
     zero = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("n"))
