@@ -237,7 +237,6 @@ def test_licence_model():
     for sentence in licences.ORDINARY:
         assert model.statements(sentence) == []
     for family, texts in licences.TEMPLATES.items():
-        assert all(licences.CUE.search(t) for t in texts if family != "isc" or "hereby" in t or "license" in t.lower())
         right = sum([f for f, *_ in model.statements("first line\n" + t + "\nlast line")] == [family] for t in texts)
         assert right >= 0.7 * len(texts), family
 

@@ -1,9 +1,11 @@
 """Licence statements in texts: a trained paragraph classifier, confirmed by templates.
 
 A paragraph is described by its word 1- to 3-grams; a sparse multinomial
-logistic regression gives the chance of each licence family and of the class `unknown`. The chance
-that is needed is calibrated on paragraphs of the corpus that the regression was not fitted on, and a
-prediction counts only if the paragraph and a template of that family share most of their 3-grams.
+logistic regression gives the chance of each licence family and of the class `unknown`. The chance of
+`unknown` is calibrated by a logistic function fitted on paragraphs of the corpus and variants of templates that
+the regression was not fitted on; the chance that a licence needs is one that at most one in 1000 of these
+paragraphs has. A prediction counts only if the paragraph and a template of that family share most of their
+3-grams.
 
 Paragraphs are lines; a line of over 2 * REACH characters is cut into windows of that length, each
 starting REACH after the one before, so a statement of up to REACH characters is whole in one of them.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import draw
+from tidemark.llm.common import draw, sigmoid, stored
 
-#: Licence words: paragraphs with one are looked at in training. Fixed values.
-CUE = re.compile(
-    r"\b(?:licen[cs]e[ds]?|sublicense|licensing|copyright|copyleft|permission|redistributions?|warranty|warranties"
-    r"|rights reserved|public domain|creative commons|cc0|cc[ -]by|spdx|unlicense)\b",
-    re.IGNORECASE | re.ASCII,
-)
 #: Statements by family. Fixed values.
 TEMPLATES = {
     "mit": (
@@ -148,8 +145,10 @@ REACH = 400
 SHARED = 0.6
 #: The least chance that counts, whatever the calibration says.
 FLOOR = 0.5
-#: Documents whose paragraphs stand for the class unknown, at most; half of them calibrate.
+#: Documents whose paragraphs stand for the class unknown, at most, and how many of these paragraphs, by hash from
+#: the whole texts: of those that share a 3-gram with a template, and of the others. Half of them calibrate.
 MAX_TRAIN_DOCS = 1000
+MAX_PARAGRAPHS = 2000
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -176,19 +175,27 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int]]:
 
 
 class Model:
-    """Classes (unknown first), n-gram numbers, weights (n-grams + 1, classes), and the chance that counts."""
+    """Classes (unknown first), n-gram numbers, weights (n-grams + 1, classes), slope and offset of the log odds
+    that a paragraph states a licence, and the chance that counts."""
 
-    def __init__(self, classes: list[str], numbers: dict[str, int], weights: np.ndarray, needed: float = FLOOR):
-        self.classes, self.numbers, self.weights, self.needed = classes, numbers, weights, needed
+    def __init__(self, classes: list[str], numbers: dict[str, int], weights: np.ndarray, line: tuple[float, float] = (1.0, 0.0), needed: float = FLOOR):
+        self.classes, self.numbers, self.weights, self.line, self.needed = classes, numbers, weights, line, needed
         self.templates = {family: [set(grams(words(t), 3)) or {" ".join(words(t))} for t in texts] for family, texts in TEMPLATES.items()}
         self.known = set().union(*(t for templates in self.templates.values() for t in templates))
 
-    def chances(self, found: list[str]) -> np.ndarray:
+    def raw(self, found: list[str]) -> np.ndarray:
+        """Chances of the classes before the calibration."""
         at = _features(found, self.numbers)
         out = self.weights[at].sum(0) / max(len(at), 1) ** 0.5 + self.weights[-1]
         out = np.exp(out - out.max())
         return out / out.sum()
 
+    def chances(self, found: list[str]) -> np.ndarray:
+        """Calibrated: that of unknown, and what is left of it by the raw chances of the families."""
+        raw = self.raw(found)
+        licence = float(sigmoid(self.line[0] * _log_odds(raw) + self.line[1]))
+        return np.concatenate([[1 - licence], raw[1:] / max(raw[1:].sum(), 1e-300) * licence])
+
     def confirmed(self, family: str, found: list[str]) -> bool:
         own = set(grams(found, 3))
         return any((common := len(own & t)) >= SHARED * len(t) or common >= max(2, SHARED * len(own)) for t in self.templates[family])
@@ -229,25 +236,37 @@ class Model:
         return listed
 
 
+def _log_odds(raw: np.ndarray) -> float:
+    return float(np.log(max(raw[1:].sum(), 1e-12) / max(raw[0], 1e-12)))
+
+
 def _features(found: list[str], numbers: dict[str, int]) -> np.ndarray:
     return np.array(sorted({numbers[g] for n in (1, 2, 3) for g in grams(found, n) if g in numbers}), np.int64)
 
 
+def _variants(full: list[str], fill: list[str], rng: np.random.Generator, n: int) -> list[list[str]]:
+    """The words of a template with some left out, inside ordinary words."""
+    out = []
+    for _ in range(n):
+        kept = [w for w in full if rng.random() > 0.06] if len(full) > 6 else full
+        front, behind = (list(rng.choice(fill, int(rng.integers(0, 12)))) for _ in range(2))
+        out.append([*front, *kept, *behind])
+    return out
+
+
 def train(ordinary: list[str], calibrate: list[str], epochs: int = 30, seed: int = 7) -> Model:
     """Fitted on the templates, alone, with words left out and inside paragraphs of ordinary words, against
     ordinary paragraphs. calibrate: ordinary paragraphs not fitted on; at most one in 1000 may pass."""
     rng = np.random.default_rng(seed)
     classes = [UNKNOWN, *sorted(TEMPLATES)]
-    fill = [w for p in ordinary[:500] for w in words(p)] or [w for p in ORDINARY for w in words(p)]
-    rows: list[tuple[list[str], int]] = [(words(p), 0) for p in (*ORDINARY * 10, *ordinary[:2000])]
+    fill = [w for p in (ordinary or ORDINARY) for w in words(p)]
+    rows: list[tuple[list[str], int]] = [(words(p), 0) for p in (*ORDINARY * 10, *ordinary)]
+    unseen: list[tuple[list[str], int]] = [(words(p), 0) for p in (*ORDINARY, *calibrate)]
     for family, texts in sorted(TEMPLATES.items()):
         for t in texts:
-            full = words(t)
-            rows.append((full, classes.index(family)))
-            for _ in range(12):
-                kept = [w for w in full if rng.random() > 0.06] if len(full) > 6 else full
-                front, behind = (list(rng.choice(fill, int(rng.integers(0, 12)))) for _ in range(2))
-                rows.append(([*front, *kept, *behind], classes.index(family)))
+            full, label = words(t), classes.index(family)
+            rows += [(v, label) for v in [full, *_variants(full, fill, rng, 12)]]
+            unseen += [(v, label) for v in _variants(full, fill, rng, 4)]
     numbers: dict[str, int] = {}
     for texts in (*TEMPLATES.values(), ORDINARY):
         for t in texts:
@@ -269,18 +288,39 @@ def train(ordinary: list[str], calibrate: list[str], epochs: int = 30, seed: int
                 seen[rows_at] += step * step
                 weights[rows_at] -= 0.3 * step / np.sqrt(seen[rows_at])
     model = Model(classes, numbers, weights)
-    high = [1 - float(model.chances(words(p))[0]) for p in (*calibrate, *ORDINARY)]
-    model.needed = float(np.clip(np.quantile(high, 0.999), FLOOR, 0.9))
+    odds, states = np.array([_log_odds(model.raw(found)) for found, _ in unseen]), np.array([float(label > 0) for _, label in unseen])
+    model.line = _calibrated(odds, states)
+    passing = sigmoid(model.line[0] * odds[states == 0] + model.line[1])
+    # strictly more than all but one in 1000
+    model.needed = max(FLOOR, float(np.nextafter(np.sort(passing)[-1 - len(passing) // 1000], 2.0)))
     return model
 
 
-def _like_template(paragraph: str) -> bool:
+def _calibrated(odds: np.ndarray, states: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic function of the log odds that fits the states best; both classes weigh the same."""
+    a, w = np.column_stack([odds, np.ones(len(odds))]), np.array([1.0, 0.0])
+    weight = np.where(states > 0, 0.5 / states.mean(), 0.5 / (1 - states.mean()))
+    for _ in range(50):
+        p = sigmoid(a @ w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(2), a.T @ (weight * (states - p)) - 0.1 * (w - (1.0, 0.0)))
+        w = w + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+    return max(float(w[0]), 1e-3), float(w[1])
+
+
+def _shared_grams(paragraph: str) -> int:
+    """How many 3-grams of the paragraph the template that shares the most of them has."""
     own = set(grams(words(paragraph), 3))
-    return any(len(own & set(grams(words(t), 3))) >= 3 for texts in TEMPLATES.values() for t in texts)
+    return max(len(own & t) for t in _template_grams()) if own else 0
+
+
+@cache
+def _template_grams() -> list[set[str]]:
+    return [set(grams(words(t), 3)) for texts in TEMPLATES.values() for t in texts]
 
 
-def fit(docs: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Model:
-    """Takes paragraphs of a bounded sample of docs that share next to nothing with a template as unknown."""
+def fit(docs: DataFrame, bound: int = MAX_TRAIN_DOCS, most: int = MAX_PARAGRAPHS) -> Model:
+    """Takes paragraphs of a bounded sample of docs that share next to nothing with a template as unknown: by hash
+    from the whole texts, at most so many of those that are like the ones that a scan classifies, and of the others."""
     rows = docs.where(F.length("text") > 0).select("text")
     total = rows.count()
     number = draw(F.col("text"))
@@ -288,11 +328,12 @@ def fit(docs: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Model:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            found = [t[a:b] for t in texts for a, b in paragraphs(t) if CUE.search(t, a, b)] + [p[:REACH] for t in texts for p in t[: 8 * REACH].split("\n")[:4]]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p in found if p.strip() and not _like_template(p)], pa.string())], names=["paragraph"])
+            for text in batch.column("text").to_pylist():
+                found = [(p, n) for p in {text[a:b] for a, b in paragraphs(text)} if p.strip() and (n := _shared_grams(p)) < 3]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n > 0 for _, n in found], pa.bool_())], names=["paragraph", "close"])
 
-    found = sorted({r["paragraph"] for r in sample.mapInArrow(cut, "paragraph string").collect()})
+    every = stored(sample.mapInArrow(cut, "paragraph string, close boolean").distinct(), "paragraphs")
+    found = [r["paragraph"] for close in (True, False) for r in every.where(F.col("close") == close).orderBy(draw(F.col("paragraph")), "paragraph").limit(most).collect()]
     return train(found[::2], found[1::2])
 
 
