@@ -168,36 +168,43 @@ def count(rows: DataFrame, discount: int) -> list[Counts]:
     """Continuation counts of the texts without part 0, without part 1 and so on, and of all texts, from rows
     of own (the part of a text), toxic, text.
 
-    The driver sees at most MAX_GRAMS words and pairs of each, those that the discount leaves something of.
+    A triple is kept once with the set of parts that have it, as bits. The driver sees at most MAX_GRAMS words
+    and pairs, those that the discount leaves something of.
     """
-    met = rows.mapInArrow(_triples, "own int, toxic int, second string, first string, word string").distinct()
-    every = F.array(*(F.lit(i) for i in range(PARTS + 1)))
-    met = met.withColumn("part", F.explode(F.filter(every, lambda i: i != F.col("own")))).select("part", "toxic", "second", "first", "word").distinct()
-    by_class = lambda c: F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).cast("long")
-    pairs = stored(met.groupBy("part", "first", "word", "toxic").agg(F.count("*").alias("n")), "pairs")
-    own = pairs.groupBy("part", "word", "toxic").agg(F.count("*").alias("n"))
-    both = pairs.select("part", "first", "word").distinct().groupBy("part", "word").agg(F.count("*").alias("shared"))
-    singles = own.groupBy("part", "word").agg(by_class(0).alias("n0"), by_class(1).alias("n1")).join(both, ["part", "word"])
+    met = rows.mapInArrow(_triples, "own int, toxic int, second string, first string, word string")
+    met = met.withColumns({"second": F.xxhash64("second"), "bit": F.expr("shiftleft(1, own)")})
+    met = met.groupBy("toxic", "second", "first", "word").agg(F.bit_or("bit").alias("mask"))
+    every = range(PARTS + 1)
+    there = lambda p: F.col("mask").bitwiseAND(F.lit(((1 << PARTS) - 1) & ~(1 << p))) != 0
+    pairs = met.groupBy("first", "word").agg(*(F.count_if((F.col("toxic") == c) & there(p)).alias(f"n{c}_{p}") for p in every for c in (0, 1)))
+    pairs = stored(pairs, "pairs")
+    has = lambda c, p: F.col(f"n{c}_{p}") > 0
+    singles = pairs.groupBy("word").agg(
+        *(F.count_if(has(c, p)).alias(f"n{c}_{p}") for p in every for c in (0, 1)), *(F.count_if(has(0, p) | has(1, p)).alias(f"s_{p}") for p in every)
+    )
     singles = stored(singles, "words")
-    spent = [F.sum(F.least(f"n{c}", F.lit(discount))).alias(f"spent{c}") for c in (0, 1)]
-    sums = singles.groupBy("part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("shared").alias("shared"), F.count("*").alias("distinct"), *spent)
-    totals = {r["part"]: r for r in sums.collect()}
-    wide = pairs.groupBy("part", "first", "word").agg(by_class(0).alias("n0"), by_class(1).alias("n1"))
-    kept = stored(wide.where(F.greatest("n0", "n1") > PAIRS * discount), "kept")
-    followed = wide.join(kept.select("part", "first").distinct(), ["part", "first"], "left_semi").groupBy("part", "first").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    followed = stored(followed, "followed")
-    paired = kept.select("part", "word", F.lit(True).alias("paired")).distinct()
-    telling = singles.join(paired, ["part", "word"], "left").where((F.greatest("n0", "n1") > discount) | F.col("paired"))
-    out = []
-    for part in range(PARTS + 1):
-        most = lambda df, *key: df.where(F.col("part") == part).orderBy(F.desc(F.greatest("n0", "n1")), *key).limit(MAX_GRAMS).collect()  # noqa: B023, E731
-        one = {r["word"]: (r["n0"], r["n1"], r["shared"]) for r in most(telling, "word")}
-        two = {(r["first"], r["word"]): (r["n0"], r["n1"]) for r in most(kept, "first", "word")}
-        after = {r["first"]: (r["n0"], r["n1"]) for r in most(followed, "first")}
-        t = totals.get(part)
-        pair = lambda a, b: (t[a], t[b]) if t else (0, 0)  # noqa: B023, E731
-        out.append(Counts(discount, one, two, after, pair("spent0", "spent1"), pair("n0", "n1"), pair("shared", "distinct")))
-    return out
+    sums = [F.sum(f"n{c}_{p}").alias(f"n{c}_{p}") for p in every for c in (0, 1)] + [F.sum(F.least(f"n{c}_{p}", F.lit(discount))).alias(f"spent{c}_{p}") for p in every for c in (0, 1)]
+    t = singles.agg(*sums, *(F.sum(f"s_{p}").alias(f"s_{p}") for p in every), *(F.count_if(F.col(f"s_{p}") > 0).alias(f"d_{p}") for p in every)).first()
+    largest = F.greatest(f"n0_{PARTS}", f"n1_{PARTS}")
+    kept = stored(pairs.where(largest > PAIRS * discount), "kept")
+    followed = pairs.join(kept.select("first").distinct(), "first", "left_semi").groupBy("first").agg(*(F.sum(f"n{c}_{p}").alias(f"n{c}_{p}") for p in every for c in (0, 1)))
+    paired = kept.select("word", F.lit(True).alias("paired")).distinct()
+    telling = singles.join(paired, "word", "left").where((largest > discount) | F.col("paired")).drop("paired")
+    most = lambda df, *key: df.orderBy(F.desc(largest), *key).limit(MAX_GRAMS).collect()
+    one, two, after = most(telling, "word"), most(kept, "first", "word"), most(followed, "first")
+    both = lambda r, p, name="n": (r[f"{name}0_{p}"] or 0, r[f"{name}1_{p}"] or 0)
+    return [
+        Counts(
+            discount,
+            {r["word"]: (*both(r, p), r[f"s_{p}"]) for r in one},
+            {(r["first"], r["word"]): both(r, p) for r in two},
+            {r["first"]: both(r, p) for r in after},
+            both(t, p, "spent"),
+            both(t, p),
+            (t[f"s_{p}"] or 0, t[f"d_{p}"]),
+        )
+        for p in every
+    ]
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN_DOCS) -> Classifier:
