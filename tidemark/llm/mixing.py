@@ -103,13 +103,17 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
     at = _reached(within.groupBy("mix_key", "fine").agg(F.sum("mix_size").alias("words"), F.min("rest").alias("rest")), "fine")
     at = stored(at, "fine")
     last = ranked.drop("rest").join(at, ["mix_key", "fine"])
-    running = Window.partitionBy("mix_key").orderBy("mix_rank", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
-    over = F.col("upto") - F.col("rest")
-    taken = (over <= 0) | (over < F.col("mix_size") - over)
-    last = last.withColumn("upto", F.sum("mix_size").over(running)).withColumn("taken", taken)
     row = F.struct("mix_rank", "mix_id", "mix_size")
-    equal = last.groupBy("mix_key", row.alias("row")).agg(F.count("*").alias("equal"), F.sum(F.col("taken").cast("long")).alias("of_them"))
-    cut = equal.where("of_them > 0").groupBy("mix_key").agg(F.max(F.struct("row", "equal", "of_them")).alias("cut"))
+    # equal rows are one row with their number, so very many of them are no work for one task
+    equal = last.groupBy("mix_key", "mix_rank", "mix_id", "mix_size", "rest").agg(F.count("*").alias("equal"))
+    before = Window.partitionBy("mix_key").orderBy("mix_rank", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.coalesce(F.sum(F.col("mix_size") * F.col("equal")).over(before), F.lit(0))
+    whole = F.least(F.greatest(F.floor(F.col("left") / F.col("mix_size")), F.lit(0)), F.col("equal"))
+    over = (F.col("full") + 1) * F.col("mix_size") - F.col("left")
+    nearer = (F.col("full") < F.col("equal")) & ((over <= 0) | (over < F.col("mix_size") - over))
+    of_them = F.when(F.col("mix_size") == 0, F.when(F.col("left") >= 0, F.col("equal")).otherwise(F.lit(0))).otherwise(F.col("full") + nearer.cast("long"))
+    equal = equal.withColumn("left", left).withColumn("full", F.when(F.col("mix_size") > 0, whole).otherwise(F.lit(0)).cast("long")).withColumn("of_them", of_them.cast("long"))
+    cut = equal.where("of_them > 0").groupBy("mix_key").agg(F.max(F.struct(row.alias("row"), "equal", "of_them")).alias("cut"))
     # without a taken row in the inner bin, the cut lies at the bin's lower edge
     edge = F.struct((F.col("fine") / (bins * bins)).alias("mix_rank"), F.lit(None).cast("long").alias("mix_id"), F.lit(None).cast("long").alias("mix_size"))
     cuts = at.join(cut, "mix_key", "left").select("mix_key", F.coalesce("cut.row", edge).alias("row"), "cut.equal", "cut.of_them")
@@ -132,9 +136,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, bin
     if due.where("of_them < equal").isEmpty():
         return result(placed, below)
     tied = F.coalesce((row == F.col("row")) & (F.col("of_them") < F.col("equal")), F.lit(False))
-    order = Window.partitionBy("mix_key").orderBy("mix_rank")
-    among = placed.where(tied).withColumn("place", F.row_number().over(order))
-    return result(placed.where(~tied), below).unionByName(result(among, F.col("place") <= F.col("of_them")))
+    return result(placed.where(~tied), below).unionByName(result(_first(placed.where(tied)), F.col("place") <= F.col("of_them")))
+
+
+def _first(tied: DataFrame) -> DataFrame:
+    """Adds place: numbers the equal rows at each source's cut, partition by partition, as one may have very many."""
+    parts = stored(tied.withColumn("part", F.spark_partition_id()), "tied")
+    before = Window.partitionBy("mix_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("mix_key", "part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy("mix_key", "part").orderBy(F.lit(0))
+    return parts.withColumn("place", F.row_number().over(within)).join(counts, ["mix_key", "part"]).withColumn("place", F.col("place") + F.col("start"))
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:
