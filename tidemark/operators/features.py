@@ -20,7 +20,9 @@ PRIMARY = (
 )
 NOISE_LEVEL = ("p_prob", "s_prob", "p_generic_frac", "p_mcc_top")
 SEQUENCE = ("p_gap_last1", "p_gap_last2", "p_gap_last3", "p_gap_max", "p_skipped_cycle_frac", "p_amt_change_last")
+#: Groups under trial, which the retained model leaves out. Fixed values.
 TARGETED = ("earliest_plausible_next", "active_due_30_mass", "active_due_60_mass", "active_due_90_mass")
+EXPERIMENTAL = SEQUENCE + TARGETED
 
 
 def client_features(described: DataFrame, records: DataFrame) -> DataFrame:

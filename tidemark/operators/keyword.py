@@ -45,19 +45,21 @@ def assign_family(prepared: DataFrame, tolerance: float = 0.08) -> DataFrame:
 
     The best anchor has the least distance over the root of its support among all of the client's; where
     that one is not within the tolerance, it is the nearest that is. Ties go to the first by family and amount.
+    A payment meets its client's anchors, not its payments: anchors of a family are over 4 % apart, so their
+    number is bounded by the range of amounts, however many payments a client has.
     """
     rows = prepared.where("cand")
     points = anchors(rows.where(F.col("kwfam").isNotNull())).withColumnRenamed("kwfam", "anchor_family")
-    loose = rows.where(F.col("kwfam").isNull()).select("row_id", "client_id", F.ln("amount").alias("la"))
+    loose = rows.where(F.col("kwfam").isNull()).select("client_id", "row_id", F.ln("amount").alias("la"))
     met = loose.join(points, "client_id").withColumn("d", F.abs(F.col("anchor") - F.col("la")))
     place = (F.col("anchor_family").alias("f"), F.col("cluster").alias("c"))
-    best = met.groupBy("row_id").agg(
+    best = met.groupBy("client_id", "row_id").agg(
         F.min(F.struct((F.col("d") / F.sqrt("support")).alias("s"), *place, F.col("d").alias("d"))).alias("scaled"),
         F.min(F.when(F.col("d") < tolerance, F.struct(F.col("d").alias("d"), *place))).alias("near"),
     )
-    linked = best.select("row_id", F.when(F.col("near").isNull(), F.lit(None)).when(F.col("scaled.d") < tolerance, F.col("scaled.f")).otherwise(F.col("near.f")).alias("anchored"))
+    linked = best.select("client_id", "row_id", F.when(F.col("near").isNull(), F.lit(None)).when(F.col("scaled.d") < tolerance, F.col("scaled.f")).otherwise(F.col("near.f")).alias("anchored"))
     fam = F.coalesce("kwfam", "anchored", "mccfam", F.when(F.col("mcc") == 5812, "amb5812"), F.lit("unknown"))
-    return rows.join(linked, "row_id", "left").withColumn("fam", fam).drop("anchored")
+    return rows.join(linked, ["client_id", "row_id"], "left").withColumn("fam", fam).drop("anchored")
 
 
 def timeline(assigned: DataFrame, refunds: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as C
 from tidemark.functions.hashing import uniform
+from tidemark.sources.storage import stored
+
+#: Bins of distinct chances, each of which one task orders.
+BINS = 512
 
 
 def best_class(classes: tuple[str, ...] = C.CLASSES) -> Column:
@@ -95,11 +99,18 @@ def accuracy(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def auc(rows: DataFrame) -> DataFrame:
     """Exact area under the ROC curve of p for y in (0, 1), by rank sums with mid-ranks.
 
-    Equal chances are counted first, so the ordered pass is over distinct chances.
+    Equal chances are counted first. Distinct chances fall into BINS bins of about equal size, whose sums are
+    added up in order; within its bin a chance is ranked by a window, so no task orders all of them.
     """
-    steps = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    below = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = steps.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    steps = stored(rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("k")), "steps")
+    edges = steps.agg(F.percentile_approx("p", [i / BINS for i in range(1, BINS)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col("p"))) if edges else F.lit(0)
+    steps = steps.withColumn("bin", at)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = steps.groupBy("bin").agg(F.sum("n").alias("in_bin")).select("bin", F.coalesce(F.sum("in_bin").over(ahead), F.lit(0)).alias("before"))
+    below = F.sum("n").over(Window.partitionBy("bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = steps.withColumn("below", F.coalesce(below, F.lit(0))).join(F.broadcast(bins), "bin")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("below") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("k").alias("pos"), F.sum(F.col("n") - F.col("k")).alias("neg"))
     return sums.select(F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")).alias("auc"), "pos", "neg")
 

@@ -33,7 +33,7 @@ def _wide(rows: DataFrame, drop: tuple[str, ...]) -> DataFrame:
     return features.wide_features(rows, drop).withColumn("family_id", F.lit(0))
 
 
-def fit_ranker(rows: DataFrame, labels: DataFrame, drop: tuple[str, ...] = features.NOISE_LEVEL, seeds: tuple[int, ...] = (0, 1, 2), settings: Settings = RANKER) -> Bundle:
+def fit_ranker(rows: DataFrame, labels: DataFrame, drop: tuple[str, ...] = features.EXPERIMENTAL, seeds: tuple[int, ...] = (0, 1, 2), settings: Settings = RANKER) -> Bundle:
     """Rankers of families on the clients that have one, and gates for `none` on all; one of each for a seed."""
     known = rows.join(labels, "client_id")
     ranked = known.where(F.col("label") != C.NONE).withColumn("target", (F.col("family") == F.col("label")).cast("int"))
@@ -58,7 +58,7 @@ def predict_ranker(bundle: Bundle, rows: DataFrame) -> DataFrame:
     return metrics.from_scores(scores, none)
 
 
-def fit_listwise(rows: DataFrame, labels: DataFrame, drop: tuple[str, ...] = features.NOISE_LEVEL, seeds: tuple[int, ...] = (0, 1, 2), settings: Settings = LISTWISE) -> list[Model]:
+def fit_listwise(rows: DataFrame, labels: DataFrame, drop: tuple[str, ...] = features.EXPERIMENTAL, seeds: tuple[int, ...] = (0, 1, 2), settings: Settings = LISTWISE) -> list[Model]:
     """rows: the eight candidates of each client."""
     known = rows.join(labels, "client_id").withColumn("target", (F.col("family") == F.col("label")).cast("int"))
     return [boosting.fit(known, numbers(rows, drop), "target", replace(settings, seed=s)) for s in seeds]

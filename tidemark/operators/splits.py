@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.constants import FOLDS
 from tidemark.functions.hashing import fold_of, is_lockbox, uniform
 
+#: Bins of a label's hashes, each of which one task orders.
+BINS = 4096
+
 
 def folds(people: DataFrame, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """client_id, lockbox and fold_<seed>."""
@@ -22,9 +25,18 @@ def development(people: DataFrame) -> DataFrame:
 
 
 def stratified(people: DataFrame, seed: int = 0, k: int = FOLDS) -> DataFrame:
-    """client_id, label, fold: the clients of a label in hash order are dealt to the folds in turn."""
-    order = Window.partitionBy("label").orderBy(uniform(seed, F.col("client_id"), "fold"), "client_id")
-    return people.select("client_id", "label", ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
+    """client_id, label, fold: the clients of a label in hash order are dealt to the folds in turn.
+
+    Hashes fall into BINS bins; a client's place is that in its bin plus the sizes of the label's bins before.
+    """
+    draw = uniform(seed, F.col("client_id"), "fold")
+    rows = people.select("client_id", "label", draw.alias("draw"), F.floor(draw * BINS).alias("bin"))
+    before = Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("label", "bin").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    starts = starts.select(F.col("label").alias("of_label"), F.col("bin").alias("of_bin"), "start")
+    placed = rows.join(F.broadcast(starts), F.col("label").eqNullSafe(F.col("of_label")) & (F.col("bin") == F.col("of_bin")))
+    order = Window.partitionBy("label", "bin").orderBy("draw", "client_id")
+    return placed.select("client_id", "label", ((F.col("start") + F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
 
 
 def fold_violations(folds_found: DataFrame, people: DataFrame, seed: int) -> DataFrame:

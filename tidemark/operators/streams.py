@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,16 @@ def stream_rows(payments: DataFrame) -> DataFrame:
 def refund_matches(rows: DataFrame, refunds: DataFrame, band: float = 0.03, days: int = 10) -> DataFrame:
     """Stream key and the refund rows that match it: near its median amount, 0 to 10 days after one of its payments."""
     r = refunds.select("client_id", "currency", F.col("row_id").alias("refund_id"), F.col("day").alias("refund_day"), F.col("amount").alias("refund_amount"), *(F.col(f"d_{f}").alias(f"r_{f}") for f in C.FAMILIES if f"d_{f}" in refunds.columns))
-    near = (F.abs(F.col("refund_amount") / F.col("amt") - 1) < band) & (F.col("refund_day") - F.col("day")).between(0, days)
-    return rows.select(*KEY, "day", "amt").join(r, ["client_id", "currency"]).where(near).drop("day", "amt").dropDuplicates([*KEY, "refund_id"])
+    # streams, which are few, meet the refunds in their band; a factor of 1 + band is less than a step and a half
+    step = 1.5 * math.log1p(band)
+    level = lambda c: F.floor(F.ln(c) / step).cast("long")
+    own = rows.groupBy(*KEY).agg(F.first("amt").alias("amt")).withColumn("level", level("amt"))
+    around = r.withColumn("level", F.explode(F.array(*(level("refund_amount") + i for i in (-1, 0, 1)))))
+    met = own.join(around, ["client_id", "currency", "level"]).where(F.abs(F.col("refund_amount") / F.col("amt") - 1) < band).drop("amt", "level")
+    # the days before a refund, each of which can be a payment's
+    asked = met.withColumn("day", F.explode(F.sequence(F.col("refund_day") - days, F.col("refund_day"))))
+    paid = rows.select(*KEY, "day").distinct()
+    return asked.join(paid, [*KEY, "day"], "left_semi").drop("day").dropDuplicates([*KEY, "refund_id"])
 
 
 def _last(value: str | Column, place: int) -> Column:
