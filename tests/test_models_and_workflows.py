@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tidemark import cli, workflows
 from tidemark.functions import constants as C
-from tidemark.operators import boosting, features, kernel, keyword, models
-from tidemark.sources import adapters, readers
+from tidemark.operators import boosting, features, kernel, keyword, logistic, metrics, models, splits, validate
+from tidemark.sources import adapters, readers, writers
 from tidemark.streaming.activity import activity
 
 SF = f"{DATA}/sf0.001"
@@ -107,12 +107,125 @@ def test_load_and_calibrate(spark, folder, tmp_path):
 
 def test_ensemble(spark, folder, tmp_path):
     data = workflows.load(spark, folder, "2024-02-01")
-    recipe = workflows.Recipe({"parser_softmax": 1.0, "keyword_streams": 0.0}, (0,), (0,), folds=2, rounds=1, depth=1, bootstrap=20)
+    recipe = workflows.Recipe({"parser_softmax": 1.0, "keyword_streams": 0.0}, (0,), (0,), folds=2, rounds=1, bootstrap=20)
     found = workflows.ensemble(data, recipe, str(tmp_path))
     text = "".join(p.read_text() for p in sorted((tmp_path / "submission").glob("part-*.csv")))
     assert text.count("\n") == data.sample.count() + 1
     assert json.loads((tmp_path / "metadata.json").read_text())["classes"] == list(C.CLASSES)
     assert found["scores"].where("view = 'pooled' and fold = -1").first()["n"] == found["runs"].count()
+    assert list((tmp_path / "oof_seed0.csv").glob("part-*.csv")) and found["lockbox"].first()["n"] > 0
+
+
+def test_score_and_compare_directories(spark, folder, tmp_path):
+    data = workflows.load(spark, folder, "2024-02-01")
+    everyone = splits.development(workflows.people(data))
+    dev, locked = everyone.where("part = 'development'"), everyone.where("part = 'lockbox'")
+    chances = adapters.scores(dev, 0).withColumn("fold", splits.fold_of(0, F.col("client_id")))
+    for name in ("one", "two", "bad"):
+        fold = F.lit(0) if name == "bad" else F.col("fold")
+        writers.write_probabilities(chances.withColumn("fold", fold), str(tmp_path / name / "oof_seed0.csv"))
+    writers.write_probabilities(adapters.scores(locked, 0), str(tmp_path / "one" / "lockbox.csv"))
+    scored = workflows.score_directory(data, str(tmp_path / "one"), (0,), 20)
+    pairs = dev.join(metrics.argmax_labels(chances), "client_id").select(F.col("label").alias("truth"), "prediction")
+    macro = metrics.macro_f1(pairs).first()["macro_f1"]
+    assert scored["scores"].where("view = 'pooled' and fold = -1").first()["macro_f1"] == pytest.approx(macro)
+    assert scored["lockbox"].first()["n"] == locked.count()
+    text = workflows.compare(data, {"one": str(tmp_path / "one"), "two": str(tmp_path / "two")}, str(tmp_path), (0,), 20)
+    assert text.count("| one |") == 4 and text.count("| two |") == 4 and f"{macro:.3f}" in text
+    with pytest.raises(readers.InvalidData, match="folds"):
+        workflows.score_directory(data, str(tmp_path / "bad"), (0,), 20)
+    with pytest.raises(readers.InvalidData, match="cover"):
+        writers.write_probabilities(chances.limit(3), str(tmp_path / "few" / "oof_seed0.csv"))
+        workflows.score_directory(data, str(tmp_path / "few"), (0,), 20)
+
+
+SMALL = boosting.Settings("binary", rounds=1, depth=1)
+
+
+def test_training_stacks_the_views_and_leaves_the_trial_features_out(spark, folder, tmp_path, monkeypatch):
+    data = workflows.load(spark, folder, "2024-02-01")
+    seen = {}
+    fit = models.fit_ranker
+
+    def spy(rows, labels, *rest, **more):
+        seen["rows"] = rows.groupBy(F.substring_index("client_id", "@", -1).alias("view")).agg(F.countDistinct("client_id").alias("n")).collect()
+        return fit(rows, labels, *rest, **more)
+
+    monkeypatch.setattr(models, "fit_ranker", spy)
+    bundle = workflows.train(data, str(tmp_path), SMALL)
+    n = {s: data.labels[s].count() for s in ("train", "valid")}
+    assert {r["view"]: r["n"] for r in seen["rows"]} == {"trainT": n["train"], "trainV": n["train"], "valid": n["valid"], "validT1": n["valid"]}
+    used = {f for m in (*bundle.rankers, *bundle.gates) for f in m.features}
+    assert not {f.split("__")[-1] for f in used} & set(features.EXPERIMENTAL) and set(features.NOISE_LEVEL) <= used
+    chances = workflows.predict(data, str(tmp_path), str(tmp_path / "out"))
+    assert chances.count() == data.sample.count()
+    for name in ("feature_importance", "group_importance", "local_explanations", "submission"):
+        assert list((tmp_path / "out" / name).glob("part-*.csv"))
+
+
+def test_evaluation_scores_three_views(spark, folder, tmp_path):
+    data = workflows.load(spark, folder, "2024-02-01")
+    found = workflows.evaluate(data, (0,), SMALL, str(tmp_path), 20, guard=False)
+    for view in workflows.EVALUATED:
+        assert found[f"cross-validation, {view}"].first()["n"] == data.labels["valid"].count()
+        assert found[f"intervals by class, {view}"].count() == len(C.CLASSES)
+        assert list((tmp_path / f"oof_{view}").glob("part-*.csv"))
+    row = found["trial of the experimental features"].first()
+    assert row["valid_gain"] == pytest.approx(row["candidate_valid"] - row["baseline_valid"]) and row["kept"] in (True, False)
+    assert (tmp_path / "report.md").exists() and (tmp_path / "metadata.json").exists()
+
+
+def test_checks_of_folders_candidates_and_ids(spark, tmp_path):
+    with pytest.raises(readers.InvalidData, match="sample_submission"):
+        readers.check_folder(spark, str(tmp_path))
+    rows = spark.createDataFrame([(k, c) for k in ("K1", "K2") for c in C.CLASSES], "client_id string, family string")
+    assert validate.check_candidates(rows) is rows
+    for bad in (rows.where("client_id <> 'K2' or family <> 'gym'"), rows.withColumn("family", F.when(F.col("family") == "gym", "shoes").otherwise(F.col("family")))):
+        with pytest.raises(readers.InvalidData):
+            validate.check_candidates(bad)
+    with pytest.raises(readers.InvalidData, match="K3"):
+        validate.check_known(spark.createDataFrame([("K3",)], "client_id string"), rows)
+
+
+def test_logistic_stage_against_its_gradient(spark):
+    """At the optimum the gradient of half the squared weights plus the summed loss is zero."""
+    rng = np.random.default_rng(3)
+    x, classes = rng.normal(size=(120, 3)), ("a", "b", "c")
+    y = [classes[int(v)] for v in np.clip(np.rint(x[:, 0] + rng.normal(size=120)) + 1, 0, 2)]
+    rows = spark.createDataFrame([(f"K{i}", *map(float, v), y[i]) for i, v in enumerate(x)], "client_id string, p double, q double, r double, label string")
+    model = logistic.fit(rows, ["p", "q", "r"], "label", classes)
+    w, b = np.array(model.weights), np.array(model.offsets)
+    out = np.exp(x @ w.T + b)
+    chance = out / out.sum(1, keepdims=True)
+    miss = chance - np.array([[c == v for c in classes] for v in y])
+    assert np.abs(miss.T @ x + w).max() < 0.02 and np.abs(miss.sum(0)).max() < 0.02
+    got = {r["client_id"]: [r[c] for c in classes] for r in logistic.predict(rows, model).collect()}
+    assert np.allclose([got[f"K{i}"] for i in range(120)], chance)
+
+
+def test_keyword_model_has_a_logistic_second_stage(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(64):
+        label = C.CLASSES[i % 8]
+        labels.append((f"K{i}", label))
+        rows += [(f"K{i}", f, j, float(rng.normal(3.0 if f == label else 0.0))) for j, f in enumerate(C.FAMILIES)]
+    long = spark.createDataFrame(rows, "client_id string, fam string, fam_id int, a double")
+    known = spark.createDataFrame(labels, "client_id string, label string")
+    fitted = models.fit_keyword(long, known, settings=boosting.Settings("binary", rounds=12, depth=2, rate=0.3, least_hessian=0.1, column_share=1.0), folds=2)
+    chances = models.predict_keyword(fitted, long)
+    right = metrics.argmax_labels(chances).join(known, "client_id").agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.7
+
+
+def test_boosting_beyond_the_kept_trees(spark, monkeypatch):
+    df = rows(spark)
+    settings = boosting.Settings(rounds=7, depth=2, least_hessian=0.1)
+    whole = boosting.fit(df, ["a", "b"], "target", settings)
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    parts = boosting.fit(df, ["a", "b"], "target", settings)
+    assert [[n[:5] for n in t] for t in whole.trees] == [[n[:5] for n in t] for t in parts.trees]
+    assert np.allclose([n[5] for t in whole.trees for n in t], [n[5] for t in parts.trees for n in t])
 
 
 def test_cli_arguments():

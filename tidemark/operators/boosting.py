@@ -5,6 +5,9 @@ candidates of a group compete; the binary objective takes each by itself. Each l
 job: tasks compute gradients under the trees so far and histograms of the open nodes, Spark sums them by
 (node, feature, bin), and the driver, which sees one row for each of these, picks the splits. Missing
 values have a bin of their own and go the way that gains more.
+
+Features are binned once, and the scores under the trees so far are written with them every KEEP trees, so a
+job walks through KEEP trees at most and the work of a tree does not grow with their number.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import stored
+
 BINS = 32
 MISSING = 255
+#: Trees after which the running scores are written.
+KEEP = 10
 
 
 @dataclass
@@ -53,10 +60,7 @@ class Model:
         return out
 
     def score(self, binned: np.ndarray) -> np.ndarray:
-        total = np.full(len(binned), self.base)
-        for tree in self.trees:
-            total += np.array([n[5] for n in tree])[leaves(tree, binned)]
-        return total
+        return self.base + _scored(self.trees, binned)
 
     def contributions(self, binned: np.ndarray) -> np.ndarray:
         """(rows, features + 1): what each split on the way to a leaf changed, by feature, and the rest."""
@@ -150,45 +154,91 @@ def fit(rows: DataFrame, features: list[str], target: str, settings: Settings, k
         share = rows.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         model.base = float(np.log(share / (1 - share)))
-    groups = grouped(rows, features, target, key, candidate).persist()
+    groups = _binned(grouped(rows, features, target, key, candidate), model)
     rng = np.random.default_rng(settings.seed)
     width = len(features)
-    try:
-        for turn in range(settings.rounds):
-            columns = np.sort(rng.choice(width, max(1, round(settings.column_share * width)), replace=False))
-            tree = [[-1, 0, 0, 0, 0, 0.0, 0.0]]
-            open_nodes = [0]
-            for level in range(settings.depth + 1):
-                sums = _histograms(groups, model, tree, open_nodes, columns, turn)
-                open_nodes = _split(tree, open_nodes, sums, columns, settings, level == settings.depth)
-                if not open_nodes:
-                    break
-            for n in tree:
-                n[5] *= settings.rate
-            model.trees.append(tree)
-    finally:
-        groups.unpersist()
+    for turn in range(settings.rounds):
+        if turn and turn % KEEP == 0:
+            groups = _advanced(groups, model.trees[-KEEP:], width)
+        columns = np.sort(rng.choice(width, max(1, round(settings.column_share * width)), replace=False))
+        tree = [[-1, 0, 0, 0, 0, 0.0, 0.0]]
+        open_nodes = [0]
+        for level in range(settings.depth + 1):
+            sums = _histograms(groups, model, tree, open_nodes, columns, turn)
+            open_nodes = _split(tree, open_nodes, sums, columns, settings, level == settings.depth)
+            if not open_nodes:
+                break
+        for n in tree:
+            n[5] *= settings.rate
+        model.trees.append(tree)
     return model
 
 
+_STATE = "binned binary, y array<double>, scores array<double>"
+
+
+def _binned(groups: DataFrame, model: Model) -> DataFrame:
+    """key, binned (the bins of a group's candidates, a byte each), y, scores (the base), written once."""
+    kind, width = dict(groups.dtypes)["key"], len(model.features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y, sizes = _arrays(batch, width)
+                yield _state(batch.column("key"), model.bin(x), y, np.full(len(y), model.base), sizes)
+
+    return stored(groups.select("key", "x", "y").mapInArrow(run, f"key {kind}, {_STATE}"), "binned")
+
+
+def _state(keys: pa.Array, binned: np.ndarray, y: np.ndarray, scores: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    packed = pa.array([binned[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(float))) for v in (y, scores)]
+    return pa.RecordBatch.from_arrays([keys, packed, *lists], names=["key", "binned", "y", "scores"])
+
+
+def _unpacked(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    binned = np.frombuffer(b"".join(batch.column("binned").to_pylist()), np.uint8).reshape(-1, width)
+    y, scores = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("y", "scores"))
+    return binned, y, scores, np.diff(batch.column("y").offsets.to_numpy())
+
+
+def _advanced(groups: DataFrame, trees: list, width: int) -> DataFrame:
+    """groups with the scores of the last trees added, written anew."""
+    kind = dict(groups.dtypes)["key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                binned, y, scores, sizes = _unpacked(batch, width)
+                yield _state(batch.column("key"), binned, y, scores + _scored(trees, binned), sizes)
+
+    return stored(groups.mapInArrow(run, f"key {kind}, {_STATE}"), "binned")
+
+
+def _scored(trees: list, binned: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(binned))
+    for tree in trees:
+        total += np.array([n[5] for n in tree])[leaves(tree, binned)]
+    return total
+
+
 def _histograms(groups: DataFrame, model: Model, tree: list, nodes: list[int], columns: np.ndarray, turn: int) -> dict[int, np.ndarray]:
     """For each open node an array (columns, BINS + 1, 2) of summed gradients and hessians."""
     settings, width = model.settings, len(model.features)
-    shared = groups.sparkSession.sparkContext.broadcast((model, tree))
+    recent = model.trees[turn - turn % KEEP :]
     slots = BINS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, grown = shared.value
         hist = np.zeros((len(nodes), len(columns) * slots, 2))
         for batch in batches:
             if not len(batch):
                 continue
-            x, y, sizes = _arrays(batch, width)
-            binned = own.bin(x)
-            g, h = _gradients(own.score(binned), y, sizes, settings.objective)
+            binned, y, scores, sizes = _unpacked(batch, width)
+            g, h = _gradients(scores + _scored(recent, binned), y, sizes, settings.objective)
             chosen = np.array([hash((settings.seed, turn, k)) % 1000 < 1000 * settings.row_share for k in map(_stable, batch.column("key").to_pylist())])
             inside = np.repeat(chosen, sizes)
-            at = leaves(grown, binned)
+            at = leaves(tree, binned)
             for i, node in enumerate(nodes):
                 rows = np.flatnonzero(inside & (at == node))
                 if len(rows):
@@ -198,7 +248,7 @@ def _histograms(groups: DataFrame, model: Model, tree: list, nodes: list[int], c
         node, slot = np.nonzero(hist[:, :, 1])
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), pa.array(slot, pa.int32()), pa.array(hist[node, slot, 0]), pa.array(hist[node, slot, 1])], names=["node", "slot", "g", "h"])
 
-    found = groups.select("key", "x", "y").mapInArrow(run, "node int, slot int, g double, h double").groupBy("node", "slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    found = groups.mapInArrow(run, "node int, slot int, g double, h double").groupBy("node", "slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     sums = {n: np.zeros((len(columns), slots, 2)) for n in nodes}
     for r in found.collect():
         sums[nodes[r["node"]]][r["slot"] // slots, r["slot"] % slots] = (r["g"], r["h"])

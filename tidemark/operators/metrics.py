@@ -158,6 +158,37 @@ def interval(values: DataFrame, column: str = "macro_f1", confidence: float = 0.
     return values.agg(F.percentile(column, F.lit(tail)).alias("lower"), F.percentile(column, F.lit(1 - tail)).alias("upper"), F.count("*").alias("samples"))
 
 
+def class_intervals(predictions: DataFrame, column: str, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.BOOTSTRAP_SEED, confidence: float = 0.95) -> DataFrame:
+    """label, lower, upper: intervals of each class' F1 over resamples of the clients."""
+    weights = resampled(predictions, ["truth", column], samples, seed)
+    scores = class_f1(weights.select("sample", "truth", F.col(column).alias("prediction"), "weight"), ("sample",), F.col("weight"))
+    tail = (1 - confidence) / 2
+    return scores.groupBy("label").agg(F.percentile("f1", F.lit(tail)).alias("lower"), F.percentile("f1", F.lit(1 - tail)).alias("upper"))
+
+
+def summary(pairs: DataFrame, samples: int = C.BOOTSTRAP_SAMPLES) -> DataFrame:
+    """One row of macro_f1, accuracy, n, the interval of macro_f1 and f1_<class> for each class."""
+    per_class = class_f1(pairs).agg(*(F.max(F.when(F.col("label") == c, F.col("f1"))).alias(f"f1_{c}") for c in C.CLASSES))
+    whole = macro_f1(pairs).crossJoin(F.broadcast(accuracy(pairs)))
+    spread = interval(bootstrap(pairs.withColumnRenamed("prediction", "guess"), ["guess"], samples)).select("lower", "upper")
+    return whole.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(per_class))
+
+
+def ablation(candidate: DataFrame, baseline: DataFrame, labels: DataFrame, stressed: tuple[str, ...], least: float = 0.01) -> DataFrame:
+    """seed, candidate_valid, baseline_valid, candidate_test_noise, baseline_test_noise, valid_gain, test_noise_gain,
+    kept: macro-F1 of either side's chances (view, seed, client_id, classes) on the view `valid` and on the mean of
+    the stressed views. kept: both gains are at least so large for every seed."""
+    sides = candidate.withColumn("side", F.lit("candidate")).unionByName(baseline.withColumn("side", F.lit("baseline")))
+    view = F.when(F.col("view") == "valid", "valid").when(F.col("view").isin(*stressed), "test_noise")
+    mean = sides.withColumn("view", view).where(F.col("view").isNotNull()).groupBy("side", "seed", "view", "client_id").agg(*(F.avg(c).alias(c) for c in C.CLASSES))
+    pairs = mean.withColumn("prediction", best_class()).join(labels.select("client_id", F.col("label").alias("truth")), "client_id")
+    scores = macro_f1(pairs, ("side", "seed", "view"))
+    wide = scores.groupBy("seed").agg(*(F.max(F.when((F.col("side") == s) & (F.col("view") == v), F.col("macro_f1"))).alias(f"{s}_{v}") for s in ("candidate", "baseline") for v in ("valid", "test_noise")))
+    gains = wide.withColumns({f"{v}_gain": F.col(f"candidate_{v}") - F.col(f"baseline_{v}") for v in ("valid", "test_noise")})
+    every = Window.partitionBy(F.lit(0))  # a row for each seed
+    return gains.withColumn("kept", F.min((F.col("valid_gain") >= least) & (F.col("test_noise_gain") >= least)).over(every))
+
+
 def paired_difference(predictions: DataFrame, first: str, second: str, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = 2028) -> DataFrame:
     """sample, difference: macro-F1 of second less that of first on the same resample."""
     weights = resampled(predictions, ["truth", first, second], samples, seed)

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as C
 from tidemark.functions.hashing import fold_of
-from tidemark.operators import boosting, features, keyword, metrics
+from tidemark.operators import boosting, features, keyword, logistic, metrics, validate
 from tidemark.operators.boosting import Model, Settings
 
-RANKER = Settings("binary", rounds=40, rate=0.1, depth=4)
-LISTWISE = Settings("softmax", rounds=40, rate=0.1, depth=4, l2=5.0)
+#: Settings of the four kinds of boosted model. Fixed values; 15 leaves are 4 levels.
+RANKER = Settings("binary", rounds=400, rate=0.03, depth=4, l2=1.0, row_share=0.8, column_share=0.8)
+SOFTMAX = Settings("softmax", rounds=400, rate=0.03, depth=4, l2=1.0, row_share=0.8, column_share=0.8)
+KEYWORD = Settings("binary", rounds=450, rate=0.03, depth=4, l2=1.0, row_share=0.8, column_share=0.5)
+LISTWISE = Settings("softmax", rounds=1000, rate=0.04, depth=5, l2=5.0)
 
 
 def numbers(df: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
@@ -58,8 +61,9 @@ def predict_ranker(bundle: Bundle, rows: DataFrame) -> DataFrame:
     return metrics.from_scores(scores, none)
 
 
-def fit_listwise(rows: DataFrame, labels: DataFrame, drop: tuple[str, ...] = features.EXPERIMENTAL, seeds: tuple[int, ...] = (0, 1, 2), settings: Settings = LISTWISE) -> list[Model]:
+def fit_listwise(rows: DataFrame, labels: DataFrame, drop: tuple[str, ...] = features.EXPERIMENTAL, seeds: tuple[int, ...] = (0, 1, 2), settings: Settings = SOFTMAX) -> list[Model]:
     """rows: the eight candidates of each client."""
+    validate.check_candidates(rows)
     known = rows.join(labels, "client_id").withColumn("target", (F.col("family") == F.col("label")).cast("int"))
     return [boosting.fit(known, numbers(rows, drop), "target", replace(settings, seed=s)) for s in seeds]
 
@@ -77,40 +81,37 @@ def predict_listwise(models: list[Model], rows: DataFrame) -> DataFrame:
     return p.groupBy("client_id").agg(*((F.sum(F.when(F.col("family") == c, F.col("p"))) / len(models)).alias(c) for c in C.CLASSES))
 
 
-def fit_keyword(long: DataFrame, clients: DataFrame, labels: DataFrame, seeds: tuple[int, ...] = (0,), settings: Settings = RANKER, folds: int = C.FOLDS) -> tuple[list[Model], Model]:
-    """Stage 1: binary boosters of (client, family) rows. Stage 2: a listwise model of the eight classes on the
-    logits that stage 1 gives to clients it has not seen (inner folds by hash, seeds from 1000)."""
+def fit_keyword(long: DataFrame, labels: DataFrame, seeds: tuple[int, ...] = (0,), settings: Settings = KEYWORD, folds: int = C.FOLDS) -> tuple[list[Model], logistic.Model]:
+    """Stage 1: binary boosters of (client, family) rows, one for each seed. Stage 2: multinomial logistic
+    regression of the label on the inputs that stage 1 gives for clients it has not seen (inner folds by hash,
+    seed 1000 more than the first)."""
     rows = long.withColumnRenamed("fam_id", "family_id").withColumnRenamed("fam", "family").join(labels, "client_id").withColumn("target", (F.col("family") == F.col("label")).cast("int"))
     names = [c for c in numbers(rows) if c != "family_id"]
     final = [boosting.fit(rows, names, "target", replace(settings, seed=s)) for s in seeds]
-    unseen = None
-    for s in seeds:
-        fold = fold_of(1000 + s, F.col("client_id"))
-        for k in range(folds):
-            inner = boosting.fit(rows.where(fold != k), names, "target", replace(settings, seed=s))
-            part = boosting.predict(rows.where(fold == k), inner)
-            unseen = part if unseen is None else unseen.unionByName(part)
-    second = _stage_two(unseen, clients).join(labels, "client_id").withColumn("target", (F.col("family") == F.col("label")).cast("int"))
-    return final, boosting.fit(second, numbers(second), "target", replace(LISTWISE, seed=seeds[0], rounds=settings.rounds))
-
-
-def _stage_two(scores: DataFrame, clients: DataFrame) -> DataFrame:
-    """Eight candidates of a client with its logits, the candidate's own logit and number."""
+    fold, unseen = fold_of(1000 + seeds[0], F.col("client_id")), None
+    for k in range(folds):
+        inner = boosting.fit(rows.where(fold != k), names, "target", replace(settings, seed=seeds[0]))
+        part = boosting.predict(rows.where(fold == k), inner)
+        unseen = part if unseen is None else unseen.unionByName(part)
+    inputs = _stage_two(unseen).join(labels, "client_id")
+    return final, logistic.fit(inputs, [c for c in inputs.columns if c not in ("client_id", "label")], "label", C.CLASSES)
+
+
+def _stage_two(scores: DataFrame) -> DataFrame:
+    """client_id and the inputs of the second stage, missing ones as 0."""
     p = scores.groupBy("client_id", "family_id").agg(F.avg(1 / (1 + F.exp(-F.col("score")))).alias("p"))
     wide = p.groupBy("client_id").agg(*(F.max(F.when(F.col("family_id") == i, F.col("p"))).alias(f) for i, f in enumerate(C.FAMILIES)))
-    inputs = keyword.stage_two_inputs(wide).join(clients, "client_id")
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("family_id"), F.lit(c).alias("family"), (F.col(f"logit_{c}") if i < len(C.FAMILIES) else F.lit(None).cast("double")).alias("own"), *(F.lit(float(i == j)).alias(f"is_{j}") for j in range(len(C.CLASSES)))) for i, c in enumerate(C.CLASSES))))
-    return inputs.withColumn("c", each).select("*", "c.*").drop("c")
+    return keyword.stage_two_inputs(wide)
 
 
-def predict_keyword(fitted: tuple[list[Model], Model], long: DataFrame, clients: DataFrame) -> DataFrame:
+def predict_keyword(fitted: tuple[list[Model], logistic.Model], long: DataFrame) -> DataFrame:
     stage_one, stage_two = fitted
     rows = long.withColumnRenamed("fam_id", "family_id").withColumnRenamed("fam", "family")
     scores = None
     for model in stage_one:
         part = boosting.predict(rows, model)
         scores = part if scores is None else scores.unionByName(part)
-    return predict_listwise([stage_two], _stage_two(scores, clients))
+    return logistic.predict(_stage_two(scores), stage_two)
 
 
 def gain_importance(models: list[Model], spark) -> DataFrame:

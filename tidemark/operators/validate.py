@@ -80,6 +80,28 @@ def key_mismatches(left: DataFrame, right: DataFrame, key: str = "client_id") ->
     return sides.crossJoin(F.broadcast(dup))
 
 
+def candidate_violations(rows: DataFrame) -> DataFrame:
+    """One row: clients that have not one candidate of each class, and candidates that are no class."""
+    per_client = rows.groupBy("client_id").agg(F.count("*").alias("n"), F.countDistinct("family").alias("distinct"), F.count_if(~F.col("family").isin(*C.CLASSES)).alias("other"))
+    whole = (F.col("n") == len(C.CLASSES)) & (F.col("distinct") == len(C.CLASSES))
+    return per_client.agg(F.count("*").alias("n_clients"), F.count_if(~whole).alias("n_incomplete"), F.coalesce(F.sum("other"), F.lit(0)).cast("long").alias("n_bad_candidate"))
+
+
+def check_candidates(rows: DataFrame) -> DataFrame:
+    found = candidate_violations(rows).first()
+    if found["n_incomplete"] or found["n_bad_candidate"]:
+        raise InvalidData(f"candidates: {found['n_incomplete']} clients without one of each class, {found['n_bad_candidate']} of no class")
+    return rows
+
+
+def check_known(asked: DataFrame, known: DataFrame, key: str = "client_id") -> DataFrame:
+    """asked, if every key in it is known."""
+    unknown = asked.select(key).join(known.select(key), key, "left_anti").limit(5).collect()
+    if unknown:
+        raise InvalidData(f"not known: {sorted(r[key] for r in unknown)}")
+    return asked
+
+
 def submission_violations(submission: DataFrame, sample: DataFrame) -> DataFrame:
     """One row: as key_mismatches, and predictions that are missing or no class."""
     column = "predicted_next_recurring_merchant"

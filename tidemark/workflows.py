@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ VIEWS = {
 }
 
 
+#: Views of the labelled clients that models are trained on, and those that they are evaluated on. Fixed values.
+TRAINING = ("trainT", "trainV", "valid", "validT1")
+EVALUATED = {"valid": "valid", "validT_seed0": "validT0", "validT_seed2": "validT2"}
+
+
 @dataclass
 class Recipe:
     """Settings of an ensemble run."""
@@ -42,8 +48,8 @@ class Recipe:
     seeds: tuple[int, ...] = (0, 1, 2)
     bag: tuple[int, ...] = (0, 1, 2)
     folds: int = C.FOLDS
-    rounds: int = 40
-    depth: int = 4
+    rounds: int | None = None  # None: each model's own
+    drop: tuple[str, ...] = features.EXPERIMENTAL
     bootstrap: int = C.BOOTSTRAP_SAMPLES
 
 
@@ -74,6 +80,7 @@ class Data:
 
 def load(spark: SparkSession, folder: str, cutoff: str = readers.CUTOFF) -> Data:
     """All files of a data folder, checked one by one and against each other."""
+    readers.check_folder(spark, folder)
     paths = [f"{folder}/{s}_transactions.jsonl" for s in readers.SPLITS] + [f"{folder}/{s}_labels.csv" for s in ("train", "valid")] + [f"{folder}/sample_submission.csv"]
     data = Data(
         {s: readers.load_transactions(spark, p, cutoff) for s, p in zip(readers.SPLITS, paths, strict=False)},
@@ -113,23 +120,37 @@ class Views:
         return self.tables[name]
 
 
+def _rounds(settings: models.Settings, rounds: int | None) -> models.Settings:
+    return replace(settings, rounds=rounds) if rounds else settings
+
+
+def stacked(views: Views, names: tuple[str, ...], clients: DataFrame, of=lambda rows: rows) -> DataFrame:
+    """The rows of the clients in each view, one below the other; client_id is <client>@<view>."""
+    out = None
+    for n in names:
+        part = of(views.features(n)).join(clients.select("client_id"), "client_id", "left_semi").withColumn("client_id", F.concat("client_id", F.lit(f"@{n}")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def keyed_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """client_id of the stacked rows, with the client's label."""
+    own = F.substring_index("client_id", "@", 1)
+    return rows.select("client_id").distinct().withColumn("own", own).join(labels.select(F.col("client_id").alias("own"), "label"), "own").select("client_id", "label")
+
+
 class ParserSoftmax:
     """Listwise softmax over the parser stack's candidates, on train and valid at both noise levels."""
 
     def __init__(self, views: Views, recipe: Recipe):
-        self.views, self.bag, self.settings = views, recipe.bag, replace(models.LISTWISE, rounds=recipe.rounds, depth=recipe.depth)
+        self.views, self.bag, self.drop, self.settings = views, recipe.bag, recipe.drop, _rounds(models.SOFTMAX, recipe.rounds)
 
     def rows(self, names: tuple[str, ...], clients: DataFrame) -> DataFrame:
-        out = None
-        for n in names:
-            part = features.candidate_rows(self.views.features(n)).join(clients.select("client_id"), "client_id", "left_semi").withColumn("client_id", F.concat("client_id", F.lit(f"@{n}")))
-            out = part if out is None else out.unionByName(part)
-        return out
+        return stacked(self.views, names, clients, features.candidate_rows)
 
     def fit_predict(self, train: DataFrame, targets: DataFrame) -> DataFrame:
-        rows = self.rows(("trainT", "trainV", "valid", "validT1"), train)
-        labels = rows.select("client_id").distinct().withColumn("own", F.substring_index("client_id", "@", 1)).join(train.select(F.col("client_id").alias("own"), "label"), "own").select("client_id", "label")
-        fitted = models.fit_listwise(rows, labels, seeds=self.bag, settings=self.settings)
+        rows = self.rows(TRAINING, train)
+        fitted = models.fit_listwise(rows, keyed_labels(rows, train), self.drop, self.bag, self.settings)
         asked = self.rows(("train", "valid", "test"), targets)
         return stored(models.predict_listwise(fitted, asked).withColumn("client_id", F.substring_index("client_id", "@", 1)), "chances")
 
@@ -138,7 +159,7 @@ class KeywordStreams:
     """Two-stage model of the keyword stack, on the plain views."""
 
     def __init__(self, views: Views, recipe: Recipe):
-        self.settings = replace(models.RANKER, rounds=recipe.rounds, depth=recipe.depth)
+        self.settings = _rounds(models.KEYWORD, recipe.rounds)
         rows = None
         for n in ("train", "valid", "test"):
             part = views.transactions(n)
@@ -146,20 +167,20 @@ class KeywordStreams:
         prepared = keyword.prepare(rows)
         assigned = keyword.assign_family(prepared)
         lines = keyword.timeline(assigned, prepared.where("type = 'refund'"))
-        self.long = keyword.families_long(prepared.select("client_id").distinct(), lines).persist()
-        self.people = keyword.client_summary(prepared, assigned).persist()
+        long = keyword.families_long(prepared.select("client_id").distinct(), lines)
+        self.long = stored(long.join(keyword.client_summary(prepared, assigned), "client_id"), "keyword")
 
     def fit_predict(self, train: DataFrame, targets: DataFrame) -> DataFrame:
         own = lambda df, ids: df.join(ids.select("client_id"), "client_id", "left_semi")
-        fitted = models.fit_keyword(own(self.long, train), own(self.people, train), train.select("client_id", "label"), settings=self.settings)
-        return models.predict_keyword(fitted, own(self.long, targets), own(self.people, targets))
+        fitted = models.fit_keyword(own(self.long, train), train.select("client_id", "label"), settings=self.settings)
+        return models.predict_keyword(fitted, own(self.long, targets))
 
 
 class ListwiseCandidates:
     """Listwise softmax over the amount-kernel profile, with ranks and deltas against the client's other families."""
 
     def __init__(self, views: Views, recipe: Recipe):
-        self.settings = replace(models.LISTWISE, rounds=recipe.rounds, depth=recipe.depth)
+        self.settings = _rounds(models.LISTWISE, recipe.rounds)
         rows = None
         for n in ("train", "valid", "test"):
             part = views.transactions(n)
@@ -168,13 +189,14 @@ class ListwiseCandidates:
             raise validate.InvalidData("transactions at or after the cutoff")
         assigned = kernel.assign_families(rows)
         profile = kernel.family_profile(assigned)
-        matrix = kernel.candidate_matrix(profile, kernel.client_context(assigned, profile)).persist()
+        matrix = kernel.candidate_matrix(profile, kernel.client_context(assigned, profile))
+        matrix = stored(matrix, "matrix")
         width = matrix.select(F.size("features").alias("n")).first()
         name = F.element_at(F.array(*map(F.lit, C.CLASSES)), F.col("candidate") + 1)
         self.rows = matrix.select("client_id", name.alias("family"), F.col("candidate").alias("family_id"), *(F.col("features")[i].alias(f"x{i}") for i in range(width["n"] if width else 0)))
 
     def fit_predict(self, train: DataFrame, targets: DataFrame) -> DataFrame:
-        own = lambda ids: self.rows.join(ids.select("client_id"), "client_id", "left_semi")
+        own = lambda ids: self.rows.join(validate.check_known(ids, self.rows).select("client_id"), "client_id", "left_semi")
         fitted = models.fit_listwise(own(train), train.select("client_id", "label"), (), (0,), self.settings)
         return metrics.adjust_none(models.predict_listwise(fitted, own(targets)))
 
@@ -188,7 +210,7 @@ def calibrate(data: Data, out: str | None = None) -> DataFrame:
     frames = {s: data.transactions[s] for s in data.transactions}
     for name in ("trainT", "trainV", "validT0", "validT2"):
         frames[name] = views.transactions(name)
-    found = calibration.report(frames).persist()
+    found = stored(calibration.report(frames), "calibration")
     if out:
         rates = {f"generic rate, {n}": calibration.generic_rate_by_label(grammar.described(views.transactions(n)), data.labels["train"]) for n in ("train", "trainT")}
         writers.write_report(out, "Noise calibration", {"noise": found, **rates})
@@ -204,69 +226,101 @@ def ensemble(data: Data, recipe: Recipe, out: str | None = None) -> dict[str, Da
     """Repeated hash folds on the development clients, lockbox, and the submission of the blend."""
     views = Views(data)
     parts = {n: COMPONENTS[n](views, recipe) for n, w in recipe.weights.items() if w > 0}
-    everyone = splits.development(people(data)).persist()
+    everyone = stored(splits.development(people(data)), "people")
     dev, locked = everyone.where("part = 'development'"), everyone.where("part = 'lockbox'")
-    runs = None
+    runs, unseen = None, {}
     for seed in recipe.seeds:
         fold = fold_of(seed, F.col("client_id"))
         for k in range(recipe.folds):
             train, held = dev.where(fold != k), dev.where(fold == k)
             chances = metrics.blend({n: p.fit_predict(train, held) for n, p in parts.items()}, recipe.weights)
+            unseen.setdefault(seed, []).append(chances.withColumn("fold", F.lit(k)))
             run = held.join(metrics.argmax_labels(chances), "client_id").select("client_id", F.lit(seed).alias("seed"), F.lit(k).alias("fold"), "is_valid", F.col("label").alias("truth"), "prediction")
             runs = run if runs is None else runs.unionByName(run)
     runs = stored(runs, "runs")
     results = {"scores": metrics.score_repetitions(runs)}
-    wide = runs.groupBy("client_id", "truth").agg(*(F.max(F.when(F.col("seed") == s, F.col("prediction"))).alias(f"seed_{s}") for s in recipe.seeds))
-    results["interval"] = metrics.interval(metrics.bootstrap(wide, [f"seed_{s}" for s in recipe.seeds], recipe.bootstrap))
+    results |= seed_intervals(runs, recipe.seeds, recipe.bootstrap)
     asked = locked.select("client_id")
     if data.sample is not None:
         asked = asked.unionByName(data.sample.select("client_id"))
-    final = metrics.blend({n: p.fit_predict(dev, asked) for n, p in parts.items()}, recipe.weights).persist()
+    final = metrics.blend({n: p.fit_predict(dev, asked) for n, p in parts.items()}, recipe.weights)
+    final = stored(final, "chances")
     pairs = locked.join(metrics.argmax_labels(final), "client_id").select(F.col("label").alias("truth"), "prediction")
-    results["lockbox"] = metrics.class_f1(pairs)
+    results["lockbox"] = metrics.summary(pairs, recipe.bootstrap)
     if out:
         if data.sample is not None:
             writers.write_submission(final.join(data.sample.select("client_id"), "client_id", "left_semi"), data.sample, out)
+        for seed, parts_of in unseen.items():
+            writers.write_probabilities(reduce(DataFrame.unionByName, parts_of), f"{out}/oof_seed{seed}.csv")
+        writers.write_probabilities(final.join(locked, "client_id", "left_semi"), f"{out}/lockbox.csv")
         writers.write_report(out, "Ensemble", results)
         spark = runs.sparkSession
         writers.write_manifest(out, readers.file_hashes(spark, data.paths), {"recipe": asdict(recipe)})
     return results | {"runs": runs, "chances": final}
 
 
-def evaluate(data: Data, seeds: tuple[int, ...] = (0, 17), settings=models.RANKER, out: str | None = None) -> dict[str, DataFrame]:
-    """Rules, the train-only leak contrast, and stratified cross-validation of the ranker with its none gate."""
+def cross_validated(views: Views, data: Data, seeds: tuple[int, ...], drop: tuple[str, ...], settings: models.Settings) -> DataFrame:
+    """view, seed, fold, client_id, classes: chances of every valid client in each of the EVALUATED views, by the
+    ranker and gate of the folds that it is not in, trained on the TRAINING views."""
+    labels, train, out = data.labels["valid"], data.labels["train"], None
+    for seed in seeds:
+        folds = stored(splits.stratified(labels, seed), "folds")
+        for k in range(C.FOLDS):
+            known = train.unionByName(folds.where(F.col("fold") != k).select("client_id", "label"))
+            rows = stacked(views, TRAINING, known)
+            bundle = models.fit_ranker(rows, keyed_labels(rows, known), drop, (0,), settings)
+            held = folds.where(F.col("fold") == k).select("client_id")
+            for view, name in EVALUATED.items():
+                part = models.predict_ranker(bundle, views.features(name).join(held, "client_id", "left_semi"))
+                part = part.select(F.lit(view).alias("view"), F.lit(seed).alias("seed"), F.lit(k).alias("fold"), "client_id", *C.CLASSES)
+                out = part if out is None else out.unionByName(part)
+    return stored(out, "unseen")
+
+
+def evaluate(data: Data, seeds: tuple[int, ...] = (0, 17), settings: models.Settings = models.RANKER, out: str | None = None, samples: int = C.BOOTSTRAP_SAMPLES, guard: bool = True) -> dict[str, DataFrame]:
+    """Rules, the train-only leak contrast with its guard, cross-validation of the ranker and none gate on three
+    noise views with intervals, paired differences between the views, and the trial of the experimental features."""
     views = Views(data)
     labels = data.labels["valid"]
-    found = metrics.rules(views.features("valid"), labels).join(labels, "client_id")
+    truth = labels.select("client_id", F.col("label").alias("truth"))
+    found = metrics.rules(views.features("valid"), labels).join(truth, "client_id")
     results = {}
     for rule in ("earliest_next", "most_payments", "most_recent", "refunded_none"):
-        results[f"rule {rule}"] = metrics.macro_f1(found.select(F.col("label").alias("truth"), F.col(rule).alias("prediction")))
-    pairs = lambda chances: labels.join(metrics.argmax_labels(chances), "client_id").select(F.col("label").alias("truth"), "prediction")
+        results[f"rule {rule}"] = metrics.macro_f1(found.select("truth", F.col(rule).alias("prediction")))
+    pairs = lambda chances: truth.join(metrics.argmax_labels(chances), "client_id").select("truth", "prediction")
+    contrast = {}
     for name, drop in (("leaky", ()), ("safe", features.NOISE_LEVEL)):
         bundle = models.fit_ranker(views.features("train"), data.labels["train"], drop, (0,), settings)
-        results[f"train only, {name}"] = metrics.macro_f1(pairs(models.predict_ranker(bundle, views.features("valid"))))
-    for seed in seeds:
-        folds = splits.stratified(labels, seed).persist()
-        chances = None
-        for k in range(C.FOLDS):
-            train = labels.join(folds.where(F.col("fold") != k).select("client_id"), "client_id", "left_semi").unionByName(data.labels["train"])
-            rows = views.features("trainV").unionByName(views.features("valid"))
-            bundle = models.fit_ranker(rows, train, seeds=(0,), settings=settings)
-            part = models.predict_ranker(bundle, views.features("valid").join(folds.where(F.col("fold") == k).select("client_id"), "client_id", "left_semi"))
-            chances = part if chances is None else chances.unionByName(part)
-        results[f"cross-validation, seed {seed}"] = metrics.macro_f1(pairs(chances))
-        results[f"none AUC, seed {seed}"] = metrics.auc(chances.join(labels, "client_id").select(F.col(C.NONE).alias("p"), (F.col("label") == C.NONE).cast("int").alias("y")))
+        results[f"train only, {name}"] = stored(metrics.macro_f1(pairs(models.predict_ranker(bundle, views.features("valid")))), "contrast")
+        contrast[name] = results[f"train only, {name}"].first()["macro_f1"]
+    if guard:
+        validate.check_leak_contrast(contrast["leaky"], contrast["safe"])
+    unseen = cross_validated(views, data, seeds, features.EXPERIMENTAL, settings)
+    trial = cross_validated(views, data, seeds, (), settings)
+    averaged = {v: unseen.where(F.col("view") == v).groupBy("client_id").agg(*(F.avg(c).alias(c) for c in C.CLASSES)) for v in EVALUATED}
+    for view, chances in averaged.items():
+        results[f"cross-validation, {view}"] = metrics.summary(pairs(chances), samples)
+        results[f"intervals by class, {view}"] = metrics.class_intervals(pairs(chances), "prediction", samples)
+        none = chances.join(truth, "client_id").select(F.col(C.NONE).alias("p"), (F.col("truth") == C.NONE).cast("int").alias("y"))
+        results[f"none AUC, {view}"] = metrics.auc(none)
+    for view in list(EVALUATED)[1:]:
+        both = truth.join(metrics.argmax_labels(averaged["valid"]).withColumnRenamed("prediction", "raw"), "client_id").join(metrics.argmax_labels(averaged[view]).withColumnRenamed("prediction", "noisy"), "client_id")
+        results[f"{view} less valid"] = metrics.interval(metrics.paired_difference(both, "raw", "noisy", samples), "difference")
+    results["trial of the experimental features"] = metrics.ablation(trial, unseen, labels, tuple(EVALUATED)[1:])
     if out:
+        writers.write_oof(labels, averaged, out)
         writers.write_report(out, "Evaluation", results)
+        print(writers.metric_line("cross-validation, valid", **writers.line_of(results["cross-validation, valid"].first())))
+        writers.write_manifest(out, readers.file_hashes(views.prior.sparkSession, data.paths), {"seeds": list(seeds), "settings": asdict(settings)})
     return results
 
 
-def train(data: Data, out: str, settings=models.RANKER) -> models.Bundle:
-    """Final ranker and gate on all labelled clients, saved with the prior that they were built on."""
+def train(data: Data, out: str, settings: models.Settings = models.RANKER) -> models.Bundle:
+    """Final ranker and gate on the TRAINING views of all labelled clients, saved with the prior that they were built on."""
     views = Views(data)
-    rows = views.features("trainT").unionByName(views.features("trainV")).unionByName(views.features("valid"))
-    rows = rows.groupBy("client_id", "family", "family_id").agg(*(F.avg(c).alias(c) for c in models.numbers(rows) if c != "family_id"))
-    bundle = models.fit_ranker(rows, people(data).select("client_id", "label"), settings=settings)
+    known = people(data).select("client_id", "label")
+    rows = stacked(views, TRAINING, known)
+    bundle = models.fit_ranker(rows, keyed_labels(rows, known), settings=settings)
     os.makedirs(out, exist_ok=True)
     for kind, listed in (("ranker", bundle.rankers), ("gate", bundle.gates)):
         for i, m in enumerate(listed):
@@ -290,8 +344,55 @@ def predict(data: Data, model: str, out: str) -> DataFrame:
     spark = data.transactions["test"].sparkSession
     bundle, learned = load_bundle(spark, model)
     described = grammar.described(data.transactions["test"])
-    rows = features.build_features(described, streams.stream_records(described, prior.wide(learned)), learned).persist()
-    chances = models.predict_ranker(bundle, rows).persist()
+    rows = stored(features.build_features(described, streams.stream_records(described, prior.wide(learned)), learned), "features")
+    chances = stored(models.predict_ranker(bundle, rows), "chances")
     writers.write_submission(chances, data.sample, out)
-    writers.write_report(out, "Importance", {"gain": models.gain_importance(bundle.rankers, spark)})
+    gain = models.gain_importance(bundle.rankers, spark)
+    writers.write_interpretability(out, gain, models.local_explanations(bundle.rankers[0], rows, chances))
+    writers.write_report(out, "Importance", {"gain": gain})
     return chances
+
+
+def score_directory(data: Data, folder: str, seeds: tuple[int, ...] = (0, 1, 2), samples: int = C.BOOTSTRAP_SAMPLES) -> dict[str, DataFrame]:
+    """Scores of a folder of chance tables: oof_seed<seed> of the development clients, whose fold column, if there is
+    one, has to be the protocol's, and lockbox, if it is there."""
+    spark = data.labels["train"].sparkSession
+    everyone = splits.development(people(data))
+    dev, locked = everyone.where("part = 'development'"), everyone.where("part = 'lockbox'")
+    runs = None
+    for seed in seeds:
+        path = f"{folder}/oof_seed{seed}.csv"
+        chances = readers.read_probabilities(spark, path)
+        _covers(path, dev, chances)
+        given = readers.read_folds(spark, path)
+        if given is not None and splits.fold_violations(given, people(data), seed).first()["n_wrong"]:
+            raise validate.InvalidData(f"{path}: folds are not those of the protocol")
+        run = dev.join(metrics.argmax_labels(chances), "client_id").select("client_id", F.lit(seed).alias("seed"), fold_of(seed, F.col("client_id")).alias("fold"), "is_valid", F.col("label").alias("truth"), "prediction")
+        runs = run if runs is None else runs.unionByName(run)
+    runs = stored(runs, "runs")
+    results = {"scores": metrics.score_repetitions(runs)} | seed_intervals(runs, seeds, samples)
+    if readers.exists(spark, f"{folder}/lockbox.csv"):
+        chances = readers.read_probabilities(spark, f"{folder}/lockbox.csv")
+        _covers(f"{folder}/lockbox.csv", locked, chances)
+        results["lockbox"] = metrics.summary(locked.join(metrics.argmax_labels(chances), "client_id").select(F.col("label").alias("truth"), "prediction"), samples)
+    return results
+
+
+def _covers(path: str, clients: DataFrame, chances: DataFrame) -> None:
+    broken = validate.key_mismatches(clients, chances).first().asDict()
+    if any(broken.values()):
+        raise validate.InvalidData(f"{path} does not cover exactly the clients: {broken}")
+
+
+def seed_intervals(runs: DataFrame, seeds: tuple[int, ...], samples: int) -> dict[str, DataFrame]:
+    """Intervals of the mean macro-F1 over the seeds, on all clients and on valid ones; a resample serves all seeds."""
+    out = {}
+    for name, rows in (("pooled interval", runs), ("valid interval", runs.where("is_valid"))):
+        wide = rows.groupBy("client_id", "truth").agg(*(F.max(F.when(F.col("seed") == s, F.col("prediction"))).alias(f"seed_{s}") for s in seeds))
+        out[name] = metrics.interval(metrics.bootstrap(wide, [f"seed_{s}" for s in seeds], samples))
+    return out
+
+
+def compare(data: Data, folders: dict[str, str], out: str, seeds: tuple[int, ...] = (0, 1, 2), samples: int = C.BOOTSTRAP_SAMPLES) -> str:
+    """comparison.md in out: solutions side by side, by the scores of their folders."""
+    return writers.write_comparison(out, {name: score_directory(data, folder, seeds, samples) for name, folder in folders.items()}, seeds)
