@@ -127,8 +127,8 @@ def gain_importance(models: list[Model], spark) -> DataFrame:
 
 def local_explanations(model: Model, rows: DataFrame, chances: DataFrame, places: int = 10) -> DataFrame:
     """The strongest contributions for the client with the surest family and the one with the surest none."""
-    best = F.greatest(*C.FAMILIES)
-    picked = chances.orderBy(F.desc(best), "client_id").limit(1).select("client_id").unionByName(chances.orderBy(F.desc(C.NONE), "client_id").limit(1).select("client_id")).distinct()
+    first = lambda value: chances.orderBy(F.desc(F.round(value, 12)), "client_id").limit(1).select("client_id")
+    picked = first(F.greatest(*C.FAMILIES)).unionByName(first(F.col(C.NONE))).distinct()
     found = boosting.explain(rows.join(picked, "client_id", "left_semi"), model).where(F.col("feature") != "base")
-    order = Window.partitionBy("client_id", "family_id").orderBy(F.desc(F.abs("contribution")), "feature")
+    order = Window.partitionBy("client_id", "family_id").orderBy(F.desc(F.round(F.abs("contribution"), 9)), "feature")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= places)
