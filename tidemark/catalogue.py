@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evaluation_queries, kernel_queries, keyword_queries, model_queries, noise_queries, parser_queries
+from tidemark.plans import evaluation_queries, file_queries, kernel_queries, keyword_queries, model_queries, noise_queries, parser_queries
 from tidemark.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -237,3 +237,15 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.interval(metrics.paired_difference(_two(spark, sf_dir), "first", "second", SAMPLES), "difference"), ("samples",), ("lower", "upper"))
 
 
+
+
+_CLASS_BOOT = _MORE | _boot(C.BOOTSTRAP_SEED, SAMPLES) | {
+    "cf": "SELECT sample, c AS label, coalesce(2.0 * sum(w) FILTER (truth = c AND prediction = c) / nullif(coalesce(sum(w) FILTER (truth = c), 0) + coalesce(sum(w) FILTER (prediction = c), 0), 0), 0) AS f FROM marks, classes WHERE r = 0 GROUP BY ALL",
+    "cells": "SELECT *, sum(n) OVER (ORDER BY truth, first) AS stop, sum(n) OVER (ORDER BY truth, first) - n AS start FROM (SELECT truth, first, '' AS second, count(*) AS n FROM twin GROUP BY ALL)",
+}
+
+
+@query(sql("SELECT label, round(quantile_cont(f, 0.025), 6) AS lower, round(quantile_cont(f, 0.975), 6) AS upper FROM cf GROUP BY label", _CLASS_BOOT))
+def bootstrap_class_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of each class' F1."""
+    return rounded(metrics.class_intervals(_two(spark, sf_dir).select("truth", "first"), "first", SAMPLES), ("label",), ("lower", "upper"))
