@@ -7,6 +7,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
+from tests.llm.conftest import CLASHING
 from tidemark.llm import decontamination, language, licences, mixing, neighbours, quality, scoring, secret_scan, simhash, toxicity
 
 
@@ -67,7 +68,8 @@ def test_copies_and_ids(odd_docs, odd_benchmark):
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, []), (9, [1.0, 2.0, 3.0]), (2, [1.0, 0.1]), (200, [0.0, 0.0]), (300, None), (100, [1.0, 0.0])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, point string")
+    more = ("point", "first", "code", "block", "curve", "ids", "asks", *CLASHING)
+    df = spark.createDataFrame([(*r, *("x" for _ in more)) for r in rows], "vec_id long, embedding array<float>, " + ", ".join(f"`{c}` string" for c in more))
     found = neighbours.op1_neighbours(df).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found] == [(100, 1, 1), (100, 2, 2)]
     assert found[0]["score"] == 0.0
