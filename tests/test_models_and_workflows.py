@@ -165,7 +165,7 @@ def test_training_stacks_the_views_and_leaves_the_trial_features_out(spark, fold
 
 def test_evaluation_scores_three_views(spark, folder, tmp_path):
     data = workflows.load(spark, folder, "2024-02-01")
-    found = workflows.evaluate(data, (0,), SMALL, str(tmp_path), 20, guard=False)
+    found = workflows.evaluate(data, (0,), SMALL, str(tmp_path), 20, guard=False, k_folds=2)
     for view in workflows.EVALUATED:
         assert found[f"cross-validation, {view}"].first()["n"] == data.labels["valid"].count()
         assert found[f"intervals by class, {view}"].count() == len(C.CLASSES)

@@ -259,13 +259,13 @@ def ensemble(data: Data, recipe: Recipe, out: str | None = None) -> dict[str, Da
     return results | {"runs": runs, "chances": final}
 
 
-def cross_validated(views: Views, data: Data, seeds: tuple[int, ...], drop: tuple[str, ...], settings: models.Settings) -> DataFrame:
+def cross_validated(views: Views, data: Data, seeds: tuple[int, ...], drop: tuple[str, ...], settings: models.Settings, k_folds: int = C.FOLDS) -> DataFrame:
     """view, seed, fold, client_id, classes: chances of every valid client in each of the EVALUATED views, by the
     ranker and gate of the folds that it is not in, trained on the TRAINING views."""
     labels, train, out = data.labels["valid"], data.labels["train"], None
     for seed in seeds:
-        folds = stored(splits.stratified(labels, seed), "folds")
-        for k in range(C.FOLDS):
+        folds = stored(splits.stratified(labels, seed, k_folds), "folds")
+        for k in range(k_folds):
             known = train.unionByName(folds.where(F.col("fold") != k).select("client_id", "label"))
             rows = stacked(views, TRAINING, known)
             bundle = models.fit_ranker(rows, keyed_labels(rows, known), drop, (0,), settings)
@@ -277,7 +277,7 @@ def cross_validated(views: Views, data: Data, seeds: tuple[int, ...], drop: tupl
     return stored(out, "unseen")
 
 
-def evaluate(data: Data, seeds: tuple[int, ...] = (0, 17), settings: models.Settings = models.RANKER, out: str | None = None, samples: int = C.BOOTSTRAP_SAMPLES, guard: bool = True) -> dict[str, DataFrame]:
+def evaluate(data: Data, seeds: tuple[int, ...] = (0, 17), settings: models.Settings = models.RANKER, out: str | None = None, samples: int = C.BOOTSTRAP_SAMPLES, guard: bool = True, k_folds: int = C.FOLDS) -> dict[str, DataFrame]:
     """Rules, the train-only leak contrast with its guard, cross-validation of the ranker and none gate on three
     noise views with intervals, paired differences between the views, and the trial of the experimental features."""
     views = Views(data)
@@ -295,8 +295,8 @@ def evaluate(data: Data, seeds: tuple[int, ...] = (0, 17), settings: models.Sett
         contrast[name] = results[f"train only, {name}"].first()["macro_f1"]
     if guard:
         validate.check_leak_contrast(contrast["leaky"], contrast["safe"])
-    unseen = cross_validated(views, data, seeds, features.EXPERIMENTAL, settings)
-    trial = cross_validated(views, data, seeds, (), settings)
+    unseen = cross_validated(views, data, seeds, features.EXPERIMENTAL, settings, k_folds)
+    trial = cross_validated(views, data, seeds, (), settings, k_folds)
     averaged = {v: unseen.where(F.col("view") == v).groupBy("client_id").agg(*(F.avg(c).alias(c) for c in C.CLASSES)) for v in EVALUATED}
     for view, chances in averaged.items():
         results[f"cross-validation, {view}"] = metrics.summary(pairs(chances), samples)
